@@ -137,11 +137,11 @@ class Codec:
                 out += self._merge(raw[a:b])
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: bytes | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, text: bytes | None, special: bool = True) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; with special=False the strings of special tokens are plain text."""
         if not text:
             return b""
-        if self.specials is not None and any(s in text for s in self.special_bytes):
+        if special and self.specials is not None and any(s in text for s in self.special_bytes):
             out, at, whole = [], 0, text.decode("utf-8")
             for m in self.specials.finditer(whole):
                 out += [self._plain(whole[at : m.start()].encode()), np.array([self.special[m[0]]], "<u4").tobytes()]
