@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellcut.llm import byte_bpe, packing, quality_rules, token_counts, toxicity
+from wellcut.llm import byte_bpe, licenses, packing, quality_rules, token_counts, toxicity
 from wellcut.session import table
 
 
@@ -40,10 +40,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "n_tokens")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = licenses.scan(docs, licenses.train(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.col("licenses.family"))), ",")
+    return rows.select("doc_id", "n_paragraphs", "n_licenses", families.alias("families"), F.round(F.coalesce(F.array_max("licenses.probability"), F.lit(0.0)), 4).alias("best"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op6_packing": op6_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_licenses": op10_licenses,
 }
