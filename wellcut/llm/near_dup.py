@@ -9,9 +9,10 @@ A document is the set of its distinct word shingles; two documents are linked wh
 3. Representatives that share a band key are candidates. Each bucket is first paired as a star with its smallest member,
    so hot buckets cost a row for each member. The XOR of two sketches has a population count that tells how many samples
    differ; pairs that are surely below the threshold go. The rest is confirmed on the full sets.
-4. Buckets whose members still lie in different components are compared in full, members of different components only, on
-   sketches alone, in blocks that are spread over tasks; again the full sets confirm. So no link inside a bucket is
-   lost, and no cap is needed.
+4. Buckets whose members still lie in different components are compared in full, members of different components only,
+   in blocks that are spread over tasks: sketches first, then full sets by an inverted index of the block. One link of
+   a member to a component is returned. So no component is missed inside a bucket, no cap is needed, and the rows that
+   come out stay in proportion to the members.
 5. Components of the confirmed links, by alternating stars.
 
 A pair at the threshold of 0.8 shares no band with probability (1 - 0.8^4)^32 < 1e-7, and the sketch test drops it with
@@ -45,6 +46,7 @@ BITS = 512
 CACHE = 300_000
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 2048
+BLOCK_SHINGLES = 1 << 20
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -152,13 +154,17 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(sized & (_flips("sa", "sb") <= most_flips(percent))).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+def _sets(ids: DataFrame, docs: DataFrame, width: int) -> Stored:
+    """(doc_id, set) of the documents with these ids: their full sets, as ascending 64-bit hashes."""
     cache: dict[bytes, int] = {}
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi")
+    rows = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
     made = add_columns(rows, [("set", T.BinaryType())], lambda b: [pa.array([shingle_set(x, width, cache).tobytes() for x in texts(b)], pa.binary())], ["doc_id", "text"])
-    kept = Stored(made.select("doc_id", F.col(f"{ADDED}set").alias("set")), "sets")
+    return Stored(made.select("doc_id", F.col(f"{ADDED}set").alias("set")), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+    kept = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     side = lambda x: kept.df.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
 
@@ -177,41 +183,67 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return links.df
 
 
+class Inverted:
+    """Shingle to the rows of a block that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.values, self.owner, self.n = every[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], len(sets)
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """Shingles that a set has in common with each row."""
+        lo, hi = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
+        size = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members(key, rep, c, sketch, n) of one key whose components c differ and whose sketches allow a link.
+    """Links (a, b) between members(key, rep, c, bands, sketch, n, set) of a key whose components c differ.
 
-    A key with n members is compared in blocks of BLOCK by BLOCK, each in a task of its own.
+    A key's members are compared in blocks of at most about BLOCK rows and BLOCK_SHINGLES shingles, each pair of blocks
+    in a task of its own. A pair that shares several keys is compared at the first band they share. Of the links of a
+    member to one component, one is returned: more would join nothing more.
     """
-    sized = members.groupBy("key").agg(F.count("*").alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    rows = members.join(sized.withColumn("parts", parts).drop("size"), "key").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sized = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    rows = members.join(sized, "key").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # part p meets part o: the row goes to every unordered pair of parts that holds its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("lo", F.least("p", "o")).withColumn("hi", F.greatest("p", "o"))
     flips = most_flips(percent)
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf[pdf["p"] == pdf["lo"]]
         right = pdf[pdf["p"] == pdf["hi"]]
+        if left.empty or right.empty:
+            return none
         same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        sa, sb = (np.stack(x["sketch"].to_list()).astype(np.int64).view(np.uint64) for x in (left, right))
+        words = lambda x, c: np.stack(x[c].to_list()).astype(np.int64).view(np.uint64)
+        sets = lambda x: [np.frombuffer(v, np.uint64) for v in x["set"]]
+        sa, sb, ba, bb = words(left, "sketch"), words(right, "sketch"), words(left, "bands"), words(right, "bands")
         ra, rb, ca, cb, na, nb = (x[c].to_numpy() for c in ("rep", "c", "n") for x in (left, right))
-        out_a, out_b = [], []
-        step = max(1, (1 << 20) // max(1, len(rb)))
-        for i in range(0, len(ra), step):
-            s = slice(i, i + step)
-            z = np.zeros((len(ra[s]), len(rb)), np.uint16)
-            for k in range(sa.shape[1]):
-                z += np.bitwise_count(sa[s, k, None] ^ sb[None, :, k])
-            ok = (z <= flips) & (ca[s, None] != cb[None, :])
-            ok &= 100 * np.minimum(na[s, None], nb[None, :]) >= percent * np.maximum(na[s, None], nb[None, :])
+        band = int(np.flatnonzero(ba[0] == np.array([pdf["key"].iloc[0]], np.int64).view(np.uint64)[0])[0])
+        index, own = None, sets(left)
+        out: list[tuple] = []
+        for i in range(len(ra)):
+            ok = (cb != ca[i]) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
             if same:
-                ok &= ra[s, None] < rb[None, :]
-            x, y = np.nonzero(ok)
-            out_a.append(ra[s][x])
-            out_b.append(rb[y])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                ok &= rb > ra[i]
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            at = at[np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64) <= flips]
+            at = at[~(bb[at, :band] == ba[i, :band]).any(1)]
+            if not len(at):
+                continue
+            index = index or Inverted(sets(right))
+            common = index.common(own[i])[at]
+            at = at[100 * common >= percent * (na[i] + nb[at] - common)]
+            for j in at[np.unique(cb[at], return_index=True)[1]]:
+                out.append((min(ra[i], rb[j]), max(ra[i], rb[j])))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else none
 
     kind = members.schema["rep"].dataType.simpleString()
     return rows.groupBy("key", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
@@ -235,9 +267,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # buckets of three or more whose members still lie in different components: all pairs but those with the centre
     big = members.where("size > 2 AND rep <> center").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     split = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = big.join(split, "key").join(reps.select("rep", "sketch", "n"), "rep")
-    more = Stored(_across(rest, percent), "across").df
-    links = links.unionByName(_confirmed(more, docs, width, percent))
+    rest = Stored(big.join(split, "key"), "rest").df
+    sets = _sets(rest.select(F.col("rep").alias("doc_id")), docs, width).df.withColumnRenamed("doc_id", "rep")
+    more = Stored(_across(rest.join(reps, "rep").join(sets, "rep"), percent), "across").df
+    links = links.unionByName(more)
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
     label = components_by_star(edges).select(F.col("node").alias("doc_id"), "component")
     rows = made.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
