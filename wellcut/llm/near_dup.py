@@ -199,54 +199,78 @@ class Inverted:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members(key, rep, c, bands, sketch, n, set) of a key whose components c differ.
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The two blocks of a task, and whether they are one and the same."""
+    return pdf[pdf["p"] == pdf["lo"]], pdf[pdf["p"] == pdf["hi"]], bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
+
+
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members(key, rep, c, n) of a key whose components c differ.
 
     A key's members are compared in blocks of at most about BLOCK rows and BLOCK_SHINGLES shingles, each pair of blocks
-    in a task of its own. A pair that shares several keys is compared at the first band they share. Of the links of a
-    member to one component, one is returned: more would join nothing more.
+    in a task of its own. Sizes and sketches go first and leave the rows that take part in a pair that may be a link;
+    a pair that shares several keys is looked at in the first band they share. Only those rows are joined with their
+    full sets, which decide. Of the links of a member to one component, one is returned: more would join nothing more.
     """
     sized = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     rows = members.join(sized, "key").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # part p meets part o: the row goes to every unordered pair of parts that holds its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("lo", F.least("p", "o")).withColumn("hi", F.greatest("p", "o"))
+    rows = rows.withColumn("lo", F.least("p", "o")).withColumn("hi", F.greatest("p", "o")).drop("o", "parts")
     flips = most_flips(percent)
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    columns = ["key", "lo", "hi", "p", "rep", "c", "n", "sketch"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["p"] == pdf["lo"]]
-        right = pdf[pdf["p"] == pdf["hi"]]
-        if left.empty or right.empty:
-            return none
-        same = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        words = lambda x, c: np.stack(x[c].to_list()).astype(np.int64).view(np.uint64)
-        sets = lambda x: [np.frombuffer(v, np.uint64) for v in x["set"]]
-        sa, sb, ba, bb = words(left, "sketch"), words(right, "sketch"), words(left, "bands"), words(right, "bands")
+    def pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows of left, and the rows of right that sizes, sketches and components allow to be linked with each."""
+        words = lambda x: np.stack(x["sketch"].to_list()).astype(np.int64).view(np.uint64)
+        sa, sb = words(left), words(right)
         ra, rb, ca, cb, na, nb = (x[c].to_numpy() for c in ("rep", "c", "n") for x in (left, right))
-        band = int(np.flatnonzero(ba[0] == np.array([pdf["key"].iloc[0]], np.int64).view(np.uint64)[0])[0])
-        index, own = None, sets(left)
-        out: list[tuple] = []
         for i in range(len(ra)):
             ok = (cb != ca[i]) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb))
             if same:
                 ok &= rb > ra[i]
             at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            at = at[np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64) <= flips]
+            if len(at):
+                at = at[np.bitwise_count(sb[at] ^ sa[i]).sum(1, dtype=np.int64) <= flips]
+            if len(at):
+                yield i, at
+
+    def likely(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        if left.empty or right.empty:
+            return pdf[columns].iloc[:0]
+        ba, bb = (np.stack(x["bands"].to_list()).astype(np.int64) for x in (left, right))
+        band = int(np.flatnonzero(ba[0] == np.int64(pdf["key"].iloc[0]))[0])
+        hit_a, hit_b = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for i, at in pairs(left, right, same):
             at = at[~(bb[at, :band] == ba[i, :band]).any(1)]
-            if not len(at):
-                continue
-            index = index or Inverted(sets(right))
-            common = index.common(own[i])[at]
-            at = at[100 * common >= percent * (na[i] + nb[at] - common)]
-            for j in at[np.unique(cb[at], return_index=True)[1]]:
-                out.append((min(ra[i], rb[j]), max(ra[i], rb[j])))
-        return pd.DataFrame(out, columns=["a", "b"]) if out else none
+            hit_a[i] = len(at) > 0
+            hit_b[at] = True
+        hit_a, hit_b = (hit_a | hit_b,) * 2 if same else (hit_a, hit_b)
+        return left[hit_a][columns] if same else pd.concat([left[hit_a], right[hit_b]])[columns]
 
-    kind = members.schema["rep"].dataType.simpleString()
-    return rows.groupBy("key", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = _sides(pdf)
+        sets = lambda x: [np.frombuffer(v, np.uint64) for v in x["set"]]
+        out: list[tuple] = []
+        if not left.empty and not right.empty:
+            own, index = sets(left), Inverted(sets(right))
+            ra, rb, cb, na, nb = left["rep"].to_numpy(), right["rep"].to_numpy(), right["c"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+            for i, at in pairs(left, right, same):
+                common = index.common(own[i])[at]
+                at = at[100 * common >= percent * (na[i] + nb[at] - common)]
+                out += [(min(ra[i], rb[j]), max(ra[i], rb[j])) for j in at[np.unique(cb[at], return_index=True)[1]]]
+        return pd.DataFrame(out or {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}, columns=["a", "b"])
+
+    types = dict(members.dtypes) | {"lo": "int", "hi": "int", "p": "int", "sketch": "array<bigint>"}
+    schema = ", ".join(f"{c} {types[c]}" for c in columns)
+    narrow = rows.join(reps.select("rep", "bands", "sketch"), "rep")
+    left = Stored(narrow.groupBy("key", "lo", "hi").applyInPandas(likely, schema), "likely").df
+    full = _sets(left.select(F.col("rep").alias("doc_id")), docs, width)
+    fat = left.join(full.df.withColumnRenamed("doc_id", "rep"), "rep")
+    found = Stored(fat.groupBy("key", "lo", "hi").applyInPandas(links, f"a {types['rep']}, b {types['rep']}").distinct(), "across")
+    full.drop()
+    return found.df
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -257,20 +281,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     equal = sets.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct()
     # one row for each class: where an id is repeated with other texts, the fingerprint tells them apart
     reps = Stored(sets.join(classes.drop("n"), ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "n", "bands", "sketch"), "reps").df
-    keys = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
+    keys = reps.select("rep", "n", F.explode("bands").alias("key")).repartition("key")
     full = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1")
-    members = Stored(keys.join(full, "key").select("key", "rep", "center", "size"), "buckets").df
+    members = Stored(keys.join(full, "key").select("key", "rep", "n", "center", "size"), "buckets").df
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(Stored(_likely(stars, reps, percent), "stars").df, docs, width, percent)
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = Stored(components_by_star(edges), "found").df
     # buckets of three or more whose members still lie in different components: all pairs but those with the centre
-    big = members.where("size > 2 AND rep <> center").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    big = members.where("size > 2 AND rep <> center").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     split = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     rest = Stored(big.join(split, "key"), "rest").df
-    sets = _sets(rest.select(F.col("rep").alias("doc_id")), docs, width).df.withColumnRenamed("doc_id", "rep")
-    more = Stored(_across(rest.join(reps, "rep").join(sets, "rep"), percent), "across").df
-    links = links.unionByName(more)
+    links = links.unionByName(_across(rest, reps, docs, width, percent))
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
     label = components_by_star(edges).select(F.col("node").alias("doc_id"), "component")
     rows = made.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
