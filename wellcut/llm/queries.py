@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellcut.llm import byte_bpe, licenses, near_dup, packing, quality_model, quality_rules, token_counts, toxicity, vector_dup
+from wellcut.llm import byte_bpe, licenses, line_dedup, near_dup, packing, quality_model, quality_rules, token_counts, toxicity, vector_dup
 from wellcut.session import table
 
 
@@ -19,6 +19,10 @@ def op2_vector_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -62,6 +66,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_vector_dup": op2_vector_dup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_dup": op4_near_dup,
     "op5_quality": op5_quality,
     "op6_packing": op6_packing,
