@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellcut.llm.common import ADDED, add_columns, prepare, texts
+from wellcut.llm.common import ADDED, add_columns, prepare, slices, texts
 from wellcut.operators.components import components_by_star
 from wellcut.session import Stored
 
@@ -47,6 +47,8 @@ CACHE = 300_000
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
+#: Bits of the filter that takes ids to the scan of the texts: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -154,12 +156,56 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(sized & (_flips("sa", "sb") <= most_flips(percent))).select("a", "b")
 
 
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over ids(h): parts are made in tasks and joined segment by segment."""
+    size = 1024
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            for at in _filter_places(b.column("h").to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        rows = bits.reshape(-1, size)
+        used = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.tobytes() for r in rows[used]], pa.binary())], names=["segment", "bits"])
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        every = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]))
+        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [every.tobytes()]})
+
+    out = np.zeros((FILTER_BITS // 8 // size, size), np.uint8)
+    for r in ids.mapInArrow(part, "segment long, bits binary").groupBy("segment").applyInPandas(join, "segment long, bits binary").collect():
+        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)
+
+
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> Stored:
-    """(doc_id, set) of the documents with these ids: their full sets, as ascending 64-bit hashes."""
+    """(doc_id, set) of the documents with these ids, and a few more: their full sets, as ascending 64-bit hashes.
+
+    The ids reach the scan as a Bloom filter of a fixed size, so that no text is shuffled. A filter that the ids fill
+    lets more documents through, which costs time and changes nothing.
+    """
+    chosen = Stored(ids.distinct().select(F.xxhash64("doc_id").alias("h")), "ids")
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_bits(chosen.df))
+    chosen.drop()
     cache: dict[bytes, int] = {}
-    rows = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi")
-    made = add_columns(rows, [("set", T.BinaryType())], lambda b: [pa.array([shingle_set(x, width, cache).tobytes() for x in texts(b)], pa.binary())], ["doc_id", "text"])
-    return Stored(made.select("doc_id", F.col(f"{ADDED}set").alias("set")), "sets")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("set", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in slices(batches):
+            hit = np.ones(b.num_rows, bool)
+            for at in _filter_places(b.column("h").to_numpy()):
+                hit &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            if hit.any():
+                b = b.filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(x, width, cache).tobytes() for x in texts(b)], pa.binary())], names=schema.names)
+
+    return Stored(docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, schema), "sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -282,7 +328,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # one row for each class: where an id is repeated with other texts, the fingerprint tells them apart
     reps = Stored(sets.join(classes.drop("n"), ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "n", "bands", "sketch"), "reps").df
     keys = reps.select("rep", "n", F.explode("bands").alias("key")).repartition("key")
-    full = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1")
+    # both sides of the join read the same columns of keys, so that they share its one exchange
+    full = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1 AND most > 0")
     members = Stored(keys.join(full, "key").select("key", "rep", "n", "center", "size"), "buckets").df
     stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(Stored(_likely(stars, reps, percent), "stars").df, docs, width, percent)
