@@ -51,7 +51,6 @@ def components_by_task(edges: DataFrame, key: str = "cluster_id") -> DataFrame:
 
 def components_by_star(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(src long, dst long): (node, component) for every node of an edge. Loops only keep their node alive."""
-    spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now = Stored(e, "star")
     nodes = now.df.where("u = v").select(F.col("u").alias("node"))
@@ -86,4 +85,4 @@ def components_by_star(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     found = label.unionByName(roots)
     alone = nodes.join(found, "node", "left_anti").select("node", F.col("node").alias("component")).distinct()
-    return found.unionByName(alone) if spark else found
+    return found.unionByName(alone)

@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wellcut.session import Stored
+
+
+def beside(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """rows with the columns of a table of one row: an equi-join on a constant."""
+    return rows.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Each edge once from either end, without loops: one scan and no union of two reads."""
@@ -45,8 +52,6 @@ def dense_numbers(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from wellcut.session import Stored
-
     # the ranges come from a sample: they are written down so that every use sees the same ones
     parts = Stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges").df
     counts = parts.groupBy("__part").agg(F.count("*").alias("__n"))
@@ -166,7 +171,7 @@ def graph_summary(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame
     every = nodes.select("node") if nodes is not None else e.select(F.explode(F.array("src", "dst")).alias("node"))
     n = every.agg(F.count_distinct("node").alias("n_nodes"))
     m = e.agg(F.count("*").alias("n_edges"), F.coalesce(F.sum((F.col("src") == F.col("dst")).cast("long")), F.lit(0)).alias("n_loops"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("total_weight"))
-    return n.join(F.broadcast(m))  # one row and one row
+    return beside(n, m)
 
 
 def possible_edges(n: Column, loops: bool = False) -> Column:
@@ -240,7 +245,7 @@ def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     total = e.agg(F.sum("weight").alias("m"))
     inside = intra_cluster_edges(e, clusters).groupBy("cluster_id").agg(F.sum("weight").alias("w"))
     strength = node_strength(e).join(clusters, "node").groupBy("cluster_id").agg(F.sum("strength").alias("k"))
-    both = strength.join(inside, "cluster_id", "left").join(F.broadcast(total))
+    both = beside(strength.join(inside, "cluster_id", "left"), total)
     return both.agg(F.sum(F.coalesce("w", F.lit(0.0)) / F.col("m") - F.pow(F.col("k") / (2 * F.col("m")), F.lit(2.0))).alias("modularity"))
 
 
@@ -256,7 +261,7 @@ def cluster_partition_assignment(clusters: DataFrame, parts: int) -> DataFrame:
     """(cluster_id, part): clusters numbered by id and dealt in contiguous blocks of equal size."""
     ids = dense_numbers(clusters.select("cluster_id").distinct(), ["cluster_id"], "idx")
     size = ids.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(parts))).alias("size"))
-    return ids.join(F.broadcast(size)).select("cluster_id", F.floor(F.col("idx") / F.col("size")).cast("long").alias("part"))
+    return beside(ids, size).select("cluster_id", F.floor(F.col("idx") / F.col("size")).cast("long").alias("part"))
 
 
 # numbering

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL_DIR
-    _LOCAL_DIR = _LOCAL_DIR or tempfile.mkdtemp(prefix="wellcut-")
+    if not _LOCAL_DIR:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="wellcut-")
+        atexit.register(shutil.rmtree, _LOCAL_DIR, ignore_errors=True)
     return f"file://{_LOCAL_DIR}"
 
 
