@@ -10,6 +10,7 @@ spread the parts again, so that a giant cluster becomes many tasks after its fir
 
 from __future__ import annotations
 
+import heapq
 import time
 from collections import deque
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from wellcut.functions.criterion import SIMPLE, Criterion
 from wellcut.operators.community import cluster, cluster_graph
 from wellcut.operators.components import components_by_star, components_by_task
-from wellcut.operators.graph import canonical_clusters, intra_cluster_edges, renumber, with_default_weight
+from wellcut.operators.graph import dense_numbers, intra_cluster_edges, with_default_weight
 from wellcut.operators.mincut import Adjacency, adjacency, components, global_min_cut, leaf, subgraph
 from wellcut.session import Stored
 
@@ -46,9 +47,15 @@ def connected_components(edges: DataFrame, within: DataFrame | None = None, min_
 
 
 def _named(groups: DataFrame, canonical: bool) -> DataFrame:
-    """(node, group) to (node, cluster_id)."""
-    found = canonical_clusters(groups).withColumnRenamed("cluster", "cluster_id")
-    return found if canonical else renumber(found)
+    """(node, group), a group being named by its smallest node, to (node, cluster_id).
+
+    Numbering reads the groups twice: they are written down rather than found twice.
+    """
+    if canonical:
+        return groups.select("node", F.col("group").alias("cluster_id"))
+    kept = Stored(groups.select("node", "group"), "groups").df
+    ids = dense_numbers(kept.select("group").distinct(), ["group"], "cluster_id")
+    return kept.join(ids, "group").select("node", "cluster_id")
 
 
 def cc(edges: DataFrame, clusters: DataFrame, canonical: bool = False, strategy: str = "auto") -> DataFrame:
@@ -58,8 +65,6 @@ def cc(edges: DataFrame, clusters: DataFrame, canonical: bool = False, strategy:
 
 def peel(adj: Adjacency, criterion: Criterion) -> tuple[Adjacency, bool]:
     """Removes leaves one at a time, the smallest first, while a cut of 1 doesn't pass; and whether what is left passes with a leaf."""
-    import heapq
-
     one = lambda u: len(adj[u]) == 1 and next(iter(adj[u].values())) == 1
     heap = [u for u in adj if one(u)]
     if not heap:
