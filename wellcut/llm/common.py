@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch; texts of a batch are worked on in slices of about SLICE_BYTES.
@@ -48,6 +49,13 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa
             yield batch.slice(i, step)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with other names for columns that begin like added ones, and what selects its own columns by their own names again."""
+    names = {c: f"held{i}__{c}" if c.lower().startswith(ADDED) else c for i, c in enumerate(df.columns)}
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return plain, lambda out: out.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items()])
+
+
 def add_columns(df: DataFrame, added: list[tuple[str, T.DataType]], fn: Callable, keep: list[str] | None = None) -> DataFrame:
     """df with columns that fn makes of each slice: fn(batch) returns the arrays of the columns ``added``.
 

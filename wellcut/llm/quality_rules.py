@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellcut.llm.common import ADDED, add_columns, prepare, texts, words_of
+from wellcut.llm.common import ADDED, add_columns, prepare, set_aside, texts, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -118,8 +118,9 @@ def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The documents that the policy keeps, with their columns; no shuffle."""
-    made = _measured(docs, None)
-    return made.where(F.col(f"{ADDED}failed").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0).select(*[f"`{c}`" for c in docs.columns])
+    plain, own = set_aside(docs)
+    made = _measured(plain, None)
+    return own(made.where(F.col(f"{ADDED}failed").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0))
 
 
 def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
