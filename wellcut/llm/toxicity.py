@@ -1,6 +1,6 @@
 r"""Toxicity by non-negative positive-unlabelled learning (Kiryo et al. 2017), in numpy.
 
-Confirmed toxic examples (P) and unlabelled texts (U) train a linear classifier on words and beginnings of words (present, twice, four times). With the class prior
+Confirmed toxic examples (P) and unlabelled texts (U) train a linear classifier on words and beginnings of words (present, two, three and five times). With the class prior
 p, the risk is  p * R_P(+1) + max(0, R_U(-1) - p * R_P(-1)):  what the unlabelled texts add to the negative risk is
 corrected by the share of positives among them, and kept from going below zero, which is what overfitting would do.
 The labelled rows that may be learnt from give the prior and, at the end, the scale of the scores (Platt).
@@ -26,15 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellcut.llm.common import ADDED, add_columns, prepare, texts, words_of
+from wellcut.llm.common import ADDED, add_columns, prepare, set_aside, texts, words_of
 from wellcut.llm.labels import remainder, sampled, with_texts
 
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>~_-"
 THRESHOLD = 0.7
 CACHE = 200_000
 #: Beginnings of words, in characters, and counts in a text that are features beside the words themselves.
-PREFIXES = (4, 5, 6)
-LEVELS = (1, 2, 4)
+PREFIXES = (4, 5, 6, 7)
+LEVELS = (1, 2, 3, 5)
+#: A feature enters the model where its share in P is so many times that in U.
+RATIO = 2.0
 
 
 def word_keys(word: bytes) -> tuple[int, ...]:
@@ -104,7 +106,7 @@ def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int, lea
     n, m = max(1, len(pos)), max(1, len(unl))
     share = (a + b) / (n + m)
     z = np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-9)
-    z[a + b < least_docs] = 0
+    z[(a + b < least_docs) | (a / n < RATIO * b / m)] = 0
     best = np.argsort(-z, kind="stable")[:most]
     return np.sort(every[best[z[best] > 2.5]])
 
@@ -116,30 +118,40 @@ def design(rows: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative risk with the sigmoid loss, by Adam on mixed batches."""
+def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 120, rate: float = 0.05, decay: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the non-negative risk, by Adam on mixed batches.
+
+    First with the logistic loss, which is convex, so that no start is a bad one; then, from there, with the sigmoid loss,
+    which texts far on the wrong side don't drag along.
+    """
     rng = np.random.default_rng(seed)
     w, b = np.zeros(pos.shape[1]), -1.0
-    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    steps, batches = 0, max(1, min(40, len(unl) // 256))
-    for _ in range(epochs):
-        for p, u in zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches), strict=True):
-            if not len(p) or not len(u):
-                continue
-            x, y = pos[p], unl[u]
-            sp, su = _sigmoid(x @ w + b), _sigmoid(y @ w + b)
-            # sigmoid loss: l(z, +1) = 1 - s(z), l(z, -1) = s(z)
-            negative = su.mean() - prior * sp.mean()
-            dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)
-            if negative >= 0:
-                gp, gu = -2 * prior * dp, du
-            else:  # the correction: step back along the negative part only
-                gp, gu = prior * dp, -du
-            grad = np.append(x.T @ gp + y.T @ gu + decay * w, gp.sum() + gu.sum())
-            steps += 1
-            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-            step = rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.999**steps)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
+    batches = max(1, min(40, len(unl) // 256))
+    for convex in (True, False):
+        m1, m2, steps = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
+        pace = rate if convex else rate / 2
+        for _ in range(epochs):
+            for p, u in zip(np.array_split(rng.permutation(len(pos)), batches), np.array_split(rng.permutation(len(unl)), batches), strict=True):
+                if not len(p) or not len(u):
+                    continue
+                x, y = pos[p], unl[u]
+                zp, zu = x @ w + b, y @ w + b
+                sp, su = _sigmoid(zp), _sigmoid(zu)
+                if convex:  # l(z, +1) = log(1 + exp(-z)), l(z, -1) = log(1 + exp(z))
+                    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+                    plus, minus_p, minus_u = sp - 1, sp, su
+                else:  # l(z, +1) = 1 - s(z), l(z, -1) = s(z)
+                    negative = su.mean() - prior * sp.mean()
+                    plus, minus_p, minus_u = -sp * (1 - sp), sp * (1 - sp), su * (1 - su)
+                if negative >= 0:
+                    gp, gu = prior * (plus - minus_p) / len(p), minus_u / len(u)
+                else:  # the correction: step back along the negative part only
+                    gp, gu = prior * minus_p / len(p), -minus_u / len(u)
+                grad = np.append(x.T @ gp + y.T @ gu + (decay if convex else decay / 10) * w, gp.sum() + gu.sum())
+                steps += 1
+                m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+                step = pace * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.999**steps)) + 1e-8)
+                w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
@@ -162,7 +174,7 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0 / sd, -float(z.mean()) / sd)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_scale: int = 3000, max_features: int = 600) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_scale: int = 3000, max_features: int = 300) -> Model:
     """Trains on docs(doc_id, text) and labels(doc_id, toxic), where crc32(doc_id) mod 3 is not 1."""
     prepare(docs.sparkSession)
     known = labels.where((remainder("doc_id", 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -204,4 +216,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     """The documents that aren't predicted toxic, with their columns."""
-    return score(docs, train(docs, labels, **bounds)).where(F.col(f"{ADDED}score") < THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    plain, own = set_aside(docs)
+    return own(score(plain, train(docs, labels, **bounds)).where(F.col(f"{ADDED}score") < THRESHOLD))
