@@ -18,7 +18,6 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +33,7 @@ from pyspark.sql import types as T
 from wellcut.llm.common import ADDED, add_columns, prepare, texts
 
 #: Encodings of fragments that a task keeps.
-CACHE = 500_000
+CACHE = 150_000
 #: The pre-tokenizer's pattern, a fixed value of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -208,7 +207,3 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     made = add_columns(docs, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())], run, ["doc_id", "text"])
     return made.select("doc_id", *[F.col(ADDED + c).alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256")])
-
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
