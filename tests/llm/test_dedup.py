@@ -212,12 +212,12 @@ def test_passage_goes_from_later_documents_only(docs_of):
     passage = sentence(rng, 60)
     rows = [(i, "\n".join([sentence(rng, 30), passage, sentence(rng, 20)])) for i in range(30)]
     docs = docs_of(rows)
-    out = line_dedup.dedup(docs)
-    assert out.columns[: len(docs.columns)] == docs.columns
+    out = line_dedup.keep_first(docs)
+    assert out.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert passage in got[0] and not any(passage in got[i] for i in range(1, 30))
     assert all(got[i].split("\n") == [x for x in rows[i][1].split("\n") if x != passage] for i in range(1, 30))
-    assert line_dedup.dedup(docs.limit(0)).count() == 0
+    assert line_dedup.keep_first(docs.limit(0)).count() == 0
 
 
 def test_short_repeats_stay(docs_of):

@@ -7,10 +7,10 @@ that share a run of ``least`` words or more share a fingerprint, wherever the ru
 
 Each fingerprint's first position, in the order of id and line, is its anchor. Later positions are joined with it, one
 row for each pair of documents, and extended both ways over equal lines. A matched run of at least ``least`` words is
-deleted from the later document. Where a fingerprint's match with its anchor doesn't hold all windows
-that selected it, these windows are matched in the same way, each with the first position of that window. So the lines of every window that occurred before are
-deleted, each first occurrence stays, and no pair of later positions is ever formed: work grows with the positions,
-however many documents share a line.
+deleted from the later document. Where a fingerprint's match with its anchor doesn't hold all windows that selected it,
+these windows are matched in the same way, each with the first position of that window. So the lines of every window
+that occurred before are deleted, each first occurrence stays, and no pair of later positions is ever formed: work grows
+with the positions, however many documents share a line.
 
 Defined results: a null or empty text stays as it is; lines without a word are never matched and go only between deleted
 lines of one run; lines are equal where their words are, whatever the white space; rows that repeat an id with the same
@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellcut.llm.common import ADDED, prepare, slices, texts
+from wellcut.llm.common import ADDED, prepare, set_aside, slices, texts
+from wellcut.llm.id_filter import split_by_ids
 from wellcut.session import Stored
 
 LEAST = 50
@@ -216,10 +217,20 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]
     return b"\n".join(x for x, g in zip(raw, gone, strict=True) if not g), len(at), int(n.sum())
 
 
+def keep_first(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """docs with the deduplicated text, and no other change."""
+    plain, own = set_aside(docs)
+    return own(dedup(plain, least, gram))
+
+
 def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """docs with the deduplicated text; wc__n_lines and wc__n_removed are added."""
-    spans = repeated_runs(docs, least, gram).withColumnsRenamed({"doc_id": f"{ADDED}id", "spans": f"{ADDED}spans"})
-    rows = docs.join(spans, F.col("doc_id") == F.col(f"{ADDED}id"), "left").drop(f"{ADDED}id")
+    spans = Stored(repeated_runs(docs, least, gram), "spans").df
+    # only documents that may lose lines are shuffled
+    clear, rest = split_by_ids(docs, spans.select("doc_id"))
+    spans = spans.withColumnsRenamed({"doc_id": f"{ADDED}id", "spans": f"{ADDED}spans"})
+    found = rest.join(spans, F.col("doc_id") == F.col(f"{ADDED}id"), "left").drop(f"{ADDED}id")
+    rows = clear.withColumn(f"{ADDED}spans", F.lit(None).cast(spans.schema[f"{ADDED}spans"].dataType)).unionByName(found)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(f"{ADDED}n_lines", T.LongType()), T.StructField(f"{ADDED}n_removed", T.LongType())])
 

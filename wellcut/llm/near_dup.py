@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wellcut.llm.common import ADDED, add_columns, prepare, slices, texts
+from wellcut.llm.id_filter import hits, id_filter, split_by_ids
 from wellcut.operators.components import components_by_star
 from wellcut.session import Stored
 
@@ -47,8 +48,6 @@ CACHE = 300_000
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20
-#: Bits of the filter that takes ids to the scan of the texts: 4 MB, whatever the number of ids.
-FILTER_BITS = 1 << 25
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -156,51 +155,18 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(sized & (_flips("sa", "sb") <= most_flips(percent))).select("a", "b")
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over ids(h): parts are made in tasks and joined segment by segment."""
-    size = 1024
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            for at in _filter_places(b.column("h").to_numpy()):
-                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        rows = bits.reshape(-1, size)
-        used = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([r.tobytes() for r in rows[used]], pa.binary())], names=["segment", "bits"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]))
-        return pd.DataFrame({"segment": [pdf["segment"].iloc[0]], "bits": [every.tobytes()]})
-
-    out = np.zeros((FILTER_BITS // 8 // size, size), np.uint8)
-    for r in ids.mapInArrow(part, "segment long, bits binary").groupBy("segment").applyInPandas(join, "segment long, bits binary").collect():
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def _filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)
-
-
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> Stored:
     """(doc_id, set) of the documents with these ids, and a few more: their full sets, as ascending 64-bit hashes.
 
-    The ids reach the scan as a Bloom filter of a fixed size, so that no text is shuffled. A filter that the ids fill
-    lets more documents through, which costs time and changes nothing.
+    The ids reach the scan as a Bloom filter of a fixed size, so that no text is shuffled.
     """
-    chosen = Stored(ids.distinct().select(F.xxhash64("doc_id").alias("h")), "ids")
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_bits(chosen.df))
-    chosen.drop()
+    sent = id_filter(ids)
     cache: dict[bytes, int] = {}
     schema = T.StructType([docs.schema["doc_id"], T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for b in slices(batches):
-            hit = np.ones(b.num_rows, bool)
-            for at in _filter_places(b.column("h").to_numpy()):
-                hit &= (bits[at >> 3] >> (at & 7) & 1).astype(bool)
+            hit = hits(sent.value, b.column("h"))
             if hit.any():
                 b = b.filter(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(x, width, cache).tobytes() for x in texts(b)], pa.binary())], names=schema.names)
@@ -352,6 +318,9 @@ def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     rows = Stored(near_duplicates(docs, width, percent), "near").df
     gone = rows.where("NOT kept").select("doc_id").distinct()
     repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti")
-    again = docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
+    # only rows that may be among these ids are shuffled
+    clear, rest = split_by_ids(docs, gone.unionByName(repeated))
+    once = rest.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti")
+    again = rest.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    columns = [f"`{c}`" for c in docs.columns]
+    return clear.unionByName(once.select(*columns)).unionByName(again.select(*columns))

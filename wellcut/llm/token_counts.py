@@ -14,7 +14,6 @@ without ids has no documents; repeated rows are separate documents.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +126,3 @@ def token_counts(docs: DataFrame, path: str, end_id: int = 50256) -> DataFrame:
     """doc_id, file, document and n_tokens of the documents, counted in their flat token streams."""
     return scan(flat_blocks(docs, path, end_id), end_id).select("doc_id", "file", "document", "n_tokens")
 
-
-def ids_of(tokens: list[int], dtype: str = "<u2") -> bytes:
-    return np.array(array("I", tokens), dtype).tobytes()
