@@ -30,8 +30,10 @@ from wellcut.llm.common import prepare, slices, texts
 
 WINDOW = 2048
 END_ID = 1
-#: Ids that a block holds: 8 M ids are 32 MB and 4096 windows.
-BLOCK_TOKENS = 8 << 20
+#: Ids that a block holds: 4 M ids are 16 MB and 2048 windows.
+BLOCK_TOKENS = 4 << 20
+#: Pieces of an Arrow batch that goes out.
+BATCH = 512
 
 
 class Tightest:
@@ -96,28 +98,23 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """
     prepare(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], *SCHEMA.fields])
-    kinds = [("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
+    names = ["doc_id", *SCHEMA.names]
     end = array("I", [end_id]).tobytes()
     wide = 4 * window
 
-    def flush(block: list[tuple], first: int) -> tuple[list[pa.RecordBatch], int]:
+    def flush(block: list[tuple], first: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(x[2]) // 4 for x in block], np.int64)
-        where, offset, n = best_fit_decreasing(lengths, window)
-        out = []
-        for i in range(0, len(block), 2048):
-            part = block[i : i + 2048]
-            ids, starts, raw, tokens = zip(*part, strict=True)
-            seq, off, size = (first + where[i : i + 2048]), offset[i : i + 2048], lengths[i : i + 2048]
-            cols = [pa.array(ids), pa.array(starts, pa.int64()), pa.array(size), pa.array(raw, pa.binary()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(tokens, pa.int64()), pa.array(seq), pa.array(off)]
-            out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", *[k for k, _ in kinds]]))
-        return out, first + n
+        where, offset, _ = best_fit_decreasing(lengths, window)
+        for i in range(0, len(block), BATCH):
+            ids, starts, raw, tokens = zip(*block[i : i + BATCH], strict=True)
+            cols = [pa.array(ids, kind), pa.array(starts, pa.int64()), pa.array(lengths[i : i + BATCH]), pa.array(raw, pa.binary()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(first + where[i : i + BATCH]), pa.array(offset[i : i + BATCH])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         first = TaskContext.get().partitionId() << 40
         block: list[tuple] = []
-        held = 0
-        kind = None
+        held, kind = 0, pa.int64()
         for b in slices(batches):
             kind = b.schema.field("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
@@ -126,11 +123,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                     block.append((doc_id, i // 4, raw[i : i + wide], len(raw) // 4))
                     held += min(wide, len(raw) - i) // 4
                     if held >= block_tokens:
-                        out, first = flush(block, first)
-                        yield from (x.set_column(0, "doc_id", x.column(0).cast(kind)) for x in out)
+                        yield from flush(block, first, kind)
+                        first += len(block)  # more than the windows of the block: ids stay unique
                         block, held = [], 0
         if block:
-            out, first = flush(block, first)
-            yield from (x.set_column(0, "doc_id", x.column(0).cast(kind)) for x in out)
+            yield from flush(block, first, kind)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
