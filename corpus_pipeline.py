@@ -30,7 +30,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes runs of lines that occurred before; n_chars follows the text."""
-    made = line_dedup.dedup(docs)
+    made = line_dedup.keep_first(docs)
     columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return made.select(*columns)
 
