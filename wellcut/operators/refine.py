@@ -4,7 +4,7 @@ Input is an edge list (src, dst[, weight]) and a clustering (node, cluster_id);
 ids in the order of each cluster's smallest node, or with ``canonical=True`` the smallest node itself.
 
 Only edges inside clusters are shuffled. Relational steps are DataFrame plans; the recursive splitting runs inside
-grouped-map tasks, one for each component, or in rounds (``mode="rounds"``) that split every pending cluster once and
+grouped-map tasks, one for each cluster or component, or in rounds (``mode="rounds"``) that split every pending cluster once and
 spread the parts again, so that a giant cluster becomes many tasks after its first split.
 """
 
@@ -30,20 +30,33 @@ from wellcut.session import Stored
 TASK_EDGES = 5_000_000
 
 
+def _strategy(inside: DataFrame, strategy: str) -> str:
+    """``task`` where every cluster fits a task, else ``star``; a given strategy stays."""
+    if strategy != "auto":
+        return strategy
+    most = inside.groupBy("cluster_id").count().agg(F.max("count")).first()[0] or 0
+    return "task" if most <= TASK_EDGES else "star"
+
+
+def _inside(edges: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Edges inside clusters, written down: several plans read them."""
+    return Stored(intra_cluster_edges(edges, clusters), "inside").df
+
+
+def _components(inside: DataFrame, strategy: str) -> DataFrame:
+    found = components_by_task(inside).select("node", "component") if _strategy(inside, strategy) == "task" else components_by_star(inside)
+    sizes = found.groupBy("component").agg(F.count("*").alias("n"))
+    return found.join(sizes, "component")
+
+
 def connected_components(edges: DataFrame, within: DataFrame | None = None, min_size: int = 2, strategy: str = "auto") -> DataFrame:
     """(node, component) of components with ``min_size`` nodes at least, inside clusters where ``within`` is given."""
     if within is None:
         found = components_by_star(edges)
+        found = found.join(found.groupBy("component").agg(F.count("*").alias("n")), "component")
     else:
-        inside = intra_cluster_edges(edges, within)
-        if strategy == "auto":
-            most = inside.groupBy("cluster_id").count().agg(F.max("count")).first()[0] or 0
-            strategy = "task" if most <= TASK_EDGES else "star"
-        found = components_by_task(inside).select("node", "component") if strategy == "task" else components_by_star(inside)
-    if min_size < 2:
-        return found
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    return found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
+        found = _components(_inside(edges, within) if strategy == "auto" else intra_cluster_edges(edges, within), strategy)
+    return found.where(F.col("n") >= min_size).select("node", "component")
 
 
 def _named(groups: DataFrame, canonical: bool) -> DataFrame:
@@ -117,9 +130,21 @@ def _rows(groups: list[list[int]]) -> pd.DataFrame:
 
 def _by_component(edges: DataFrame, clusters: DataFrame, strategy: str) -> DataFrame:
     """Edges inside clusters with their component: (component, src, dst[, weight])."""
-    inside = intra_cluster_edges(edges, clusters).where("src <> dst").drop("cluster_id")
-    comp = connected_components(edges, clusters, strategy=strategy).select(F.col("node").alias("src"), "component")
-    return inside.join(comp, "src")
+    inside = _inside(edges, clusters)
+    comp = _components(inside, strategy).select(F.col("node").alias("src"), "component")
+    return inside.where("src <> dst").drop("cluster_id").join(comp, "src")
+
+
+def _by_task(edges: DataFrame, clusters: DataFrame, strategy: str) -> DataFrame:
+    """Edges inside clusters with a key that tasks are dealt by: the cluster where it fits a task, else the component.
+
+    What runs on a key finds the components itself, so clusters that fit need one shuffle only.
+    """
+    inside = _inside(edges, clusters)
+    if _strategy(inside, strategy) == "task":
+        return inside.where("src <> dst").withColumnRenamed("cluster_id", "key")
+    comp = components_by_star(inside).select(F.col("node").alias("src"), F.col("component").alias("key"))
+    return inside.where("src <> dst").drop("cluster_id").join(comp, "src")
 
 
 def wcc(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(n)", mode: str = "task", canonical: bool = False, strategy: str = "auto") -> DataFrame:
@@ -133,7 +158,7 @@ def wcc(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(n)", mo
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _rows(split_all(adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy()), c))
 
-    found = _by_component(edges, clusters, strategy).select("component", "src", "dst").groupBy("component").applyInPandas(solve, "node long, group long")
+    found = _by_task(edges, clusters, strategy).select("key", "src", "dst").groupBy("key").applyInPandas(solve, "node long, group long")
     return _named(found, canonical)
 
 
@@ -174,7 +199,7 @@ def wcc_rounds(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(
 
 
 def cm_cluster(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, criterion: Criterion, algorithm: str, resolution: float, seed: int, total: float | None) -> list[list[int]]:
-    """The refined clusters of one component: trivial cuts are peeled in place, the sides of others are clustered anew."""
+    """The refined clusters of a graph: trivial cuts are peeled in place, the sides of others are clustered anew."""
     adj = adjacency(src, dst)
     weights: dict[tuple[int, int], float] = {}
     for u, v, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
@@ -216,10 +241,10 @@ def cm(edges: DataFrame, clusters: DataFrame | None = None, algorithm: str = "le
     e = with_default_weight(edges)
     if clusters is None:
         clusters = Stored(cluster_graph(e, algorithm, resolution, seed), "initial").df
-    rows = _by_component(e, clusters, "auto")
+    rows = _by_task(e, clusters, "auto")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst", "weight"])
         return _rows(cm_cluster(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(), c, algorithm, resolution, seed, None))
 
-    return _named(rows.select("component", "src", "dst", "weight").groupBy("component").applyInPandas(solve, "node long, group long"), canonical)
+    return _named(rows.select("key", "src", "dst", "weight").groupBy("key").applyInPandas(solve, "node long, group long"), canonical)
