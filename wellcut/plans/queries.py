@@ -34,12 +34,30 @@ def _supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return supplier_copurchase(spark, sf_dir, 24), supplier_nations(spark, sf_dir)
 
 
-def _supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, c = _supplier_graph(spark, sf_dir)
+def _all_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers of a nation that share an order: every edge."""
+    return supplier_copurchase(spark, sf_dir), supplier_nations(spark, sf_dir)
+
+
+def _all_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of a brand that share an order: every edge."""
+    return part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)
+
+
+def _component_edges(e: DataFrame, c: DataFrame) -> DataFrame:
     inside = g.intra_cluster_edges(e, c)
     return inside.join(connected_components(e, c).select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst")
 
 
+def _supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _component_edges(*_supplier_graph(spark, sf_dir))
+
+
+def _flags(edges: DataFrame) -> DataFrame:
+    named = {"log10": "1log_10(n)", "twice_log10": "2log_10(n)"}
+    return min_cuts(edges).select("component", "n_nodes", "cut_size", *[Criterion.parse(c).column("n_nodes", "cut_size").alias(k) for k, c in named.items()])
+
+
 # relational operators
 
 
@@ -233,8 +251,7 @@ def mincut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def well_connected_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cuts = min_cuts(_supplier_components(spark, sf_dir))
-    return cuts.select("component", "n_nodes", "cut_size", *[Criterion.parse(c).column("n_nodes", "cut_size").alias(k) for k, c in {"log10": "1log_10(n)", "twice_log10": "2log_10(n)"}.items()])
+    return _flags(_supplier_components(spark, sf_dir))
 
 
 @query
@@ -264,7 +281,7 @@ def wcc_2log10_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wcc_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(*_supplier_graph(spark, sf_dir), "1n^0.5", canonical=True))
+    return _node_cluster(wcc(*_all_suppliers(spark, sf_dir), "1n^0.5", canonical=True))
 
 
 @query
@@ -298,3 +315,23 @@ def _cm(algorithm: str) -> Query:
 
 
 QUERIES |= {"cm_leiden_cpm": _cm("leiden-cpm"), "cm_leiden_mod": _cm("leiden-mod"), "cm_louvain": _cm("louvain")}
+
+
+# cuts over every edge: too large for SQL, which enumerates sides
+
+
+def _on(graph: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]], run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(*graph(spark, sf_dir))
+
+
+CUTS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "degree_one_nodes": lambda e, c: g.degree_one_nodes(_component_edges(e, c), "component"),
+    "mincut_value": lambda e, c: min_cuts(_component_edges(e, c)).select("component", "n_nodes", "cut_size"),
+    "well_connected_flag": lambda e, c: _flags(_component_edges(e, c)),
+    "wcc_2log10": lambda e, c: _node_cluster(wcc(e, c, "2log_10(n)", canonical=True)),
+    "wcc_2log10_rounds": lambda e, c: _node_cluster(wcc_rounds(e, c, "2log_10(n)", canonical=True)[0]),
+    "wcc_sqrt": lambda e, c: _node_cluster(wcc(e, c, "1n^0.5", canonical=True)),
+}
+QUERIES |= {f"{name}_all_suppliers": _on(_all_suppliers, run) for name, run in CUTS.items() if name != "wcc_sqrt"}
+# rounds take single nodes off one job at a time: hundreds of jobs on parts
+QUERIES |= {f"{name}_all_parts": _on(_all_parts, run) for name, run in CUTS.items() if name != "wcc_2log10_rounds"}
