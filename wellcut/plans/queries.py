@@ -69,10 +69,7 @@ def node_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def encoded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = part_copurchase(spark, sf_dir, 2)
-    named = e.select(F.concat(F.lit("p"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"))
-    d = g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))).select(F.concat(F.lit("p"), "node").alias("node"), "id")
-    return g.encode_edges(named, d)
+    return _encoded(part_copurchase(spark, sf_dir, 2))
 
 
 @query
@@ -335,3 +332,29 @@ CUTS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
 QUERIES |= {f"{name}_all_suppliers": _on(_all_suppliers, run) for name, run in CUTS.items() if name != "wcc_sqrt"}
 # rounds take single nodes off one job at a time: hundreds of jobs on parts
 QUERIES |= {f"{name}_all_parts": _on(_all_parts, run) for name, run in CUTS.items() if name != "wcc_2log10_rounds"}
+
+
+# part graphs over every edge, of the queries whose SQL takes edges of weight 2 and more
+
+
+def _encoded(e: DataFrame) -> DataFrame:
+    named = e.select(F.concat(F.lit("p"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"))
+    d = g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))).select(F.concat(F.lit("p"), "node").alias("node"), "id")
+    return g.encode_edges(named, d)
+
+
+EVERY_EDGE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "node_dictionary": lambda e, c: g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))),
+    "encoded_edges": lambda e, c: _encoded(e),
+    "adjacency_list": lambda e, c: g.adjacency_list(e).select("node", F.array_join("neighbours", ",").alias("neighbours")),
+    "inter_cluster_edges": lambda e, c: g.inter_cluster_edges(e, c).select("src", "dst"),
+    "component_sizes": lambda e, c: g.component_sizes(connected_components(e, c)),
+    "sparse_cluster_pairs": lambda e, c: g.sparse_cluster_pairs(e, c).withColumn("ratio", F.round("ratio", 6)),
+    "restored_edges": lambda e, c: g.restore_inter_cluster_edges(e, c).select("src", "dst"),
+    "modularity": lambda e, c: g.modularity(e.drop("weight"), c).select(F.round("modularity", 6).alias("modularity")),
+    "cpm_quality": lambda e, c: g.cpm_quality(e.drop("weight"), c, 0.01).select(F.round("cpm", 6).alias("cpm")),
+    "cc_clusters": lambda e, c: _node_cluster(cc(e, c, canonical=True)),
+    "cc_numbered": lambda e, c: _node_cluster(cc(e, c)),
+}
+QUERIES |= {f"{name}_all_parts": _on(_all_parts, run) for name, run in EVERY_EDGE.items()}
+QUERIES["wcc_log10_all_parts"] = QUERIES["wcc_copurchase"]
