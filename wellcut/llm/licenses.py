@@ -6,9 +6,11 @@ on a bounded sample of the corpus' own paragraphs as unknowns; its temperature i
 the unknown class is calibrated. A paragraph gets a family where the family is likeliest with at least ``least``
 probability and a notice of that family, compared word by word, confirms it.
 
-Every notice gives a few cue words: those of its words that the corpus' paragraphs hold least, even as part of longer
-words. The first stage of the classifier takes a paragraph without a cue word for unknown, so that the n-grams of most
-paragraphs are never formed. Scoring is one narrow pass: no join, no shuffle, no Python.
+Every notice gives so many cue words that a paragraph with none of them holds too little of it to be confirmed: those of
+its words that the sampled paragraphs hold least, even as part of longer words. A paragraph without a cue word is unknown,
+whatever its score, and so is one that then proves to hold too little of every notice: the n-grams of most paragraphs are
+never formed. The sample decides what that costs, not what the gates let through.
+Scoring is one narrow pass: no join, no shuffle, no Python.
 
 Bounds: ``max_docs`` sampled documents and ``max_lines`` paragraphs of each train the unknown class.
 
@@ -45,8 +47,8 @@ NOTICES = {
 FAMILIES = list(NOTICES)
 UNKNOWN = "unknown"
 SPLIT = "[^a-z0-9]+"
-#: Cue words of each notice: the rarest in the corpus, the longest first.
-CUES = 4
+#: Words of each notice that are put into unknown examples: the rarest in the corpus, the longest first.
+ODD = 4
 
 
 def words(text: str) -> list[str]:
@@ -79,6 +81,12 @@ def containment(ws: list[str], notice: list[str]) -> float:
     return len(set(ws) & set(notice)) / len(set(notice))
 
 
+def cue_words(notice: list[str], part_of: dict[str, int], overlap: float) -> list[str]:
+    """The rarest words of a notice, so many that the others are less than ``overlap`` of it."""
+    ws = sorted(set(notice), key=lambda w: (part_of[w], -len(w), w))
+    return ws[: next(k for k in range(1, len(ws) + 1) if k == len(ws) or (len(ws) - k) / len(ws) < overlap)]
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -90,10 +98,11 @@ def fit(unknown: list[str], seed: int = 5, variants: int = 40, rounds: int = 500
     plain = [ws for x in unknown if (ws := words(x)) and max(containment(ws, n) for _, n in notices) < 0.6]
     lowered = [" ".join(ws) for ws in plain]
     most = max(2, len(lowered) // 300)
-    # as part of any longer word too: a cue is searched for in whole texts, and must be rare there
-    part_of = {w: sum(w in x for x in lowered) for w in {w for _, n in notices for w in n if len(w) > 2}}
-    rare = lambda n: sorted({w for w in n if part_of.get(w, most + 1) <= most}, key=lambda w: (part_of[w], -len(w), w))[:CUES]
-    cues = sorted({w for _, n in notices for w in rare(n)})
+    # as part of any longer word too: a cue is searched for in whole texts, and should be rare there
+    part_of = {w: sum(w in x for x in lowered) for w in {w for _, n in notices for w in n}}
+    cues = sorted({w for _, n in notices for w in cue_words(n, part_of, Model.overlap)})
+    rare = lambda n: sorted({w for w in n if len(w) > 2 and part_of[w] <= most}, key=lambda w: (part_of[w], -len(w), w))[:ODD]
+    odd = sorted({w for _, n in notices for w in rare(n)}) or cues
     features = sorted({g for _, n in notices for g in grams(n)})
     number = {g: i for i, g in enumerate(features)}
     rng = np.random.default_rng(seed)
@@ -104,12 +113,12 @@ def fit(unknown: list[str], seed: int = 5, variants: int = 40, rounds: int = 500
             ws = [w for w in n if rng.random() > 0.12] or n
             extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 4))]
             examples.append((y, [*extra, *ws] if rng.random() < 0.5 else [*ws, *extra]))
-    # an odd cue word or two alone is no licence
+    # an odd word or two of a notice alone is no licence
     k = len(FAMILIES)
     for _ in range(variants * 12):
         ws = [filler[i] for i in rng.integers(0, len(filler), rng.integers(3, 15))]
         for _ in range(int(rng.integers(1, 3))):
-            ws.insert(int(rng.integers(0, len(ws) + 1)), cues[int(rng.integers(0, len(cues)))])
+            ws.insert(int(rng.integers(0, len(ws) + 1)), odd[int(rng.integers(0, len(odd)))])
         examples.append((k, ws))
     examples += [(k, ws) for ws in plain[:2000]]
     x = np.zeros((len(examples), len(features)))
@@ -149,6 +158,15 @@ def _has_cue(lowered: Column, cues: list[str]) -> Column:
     return found
 
 
+def _near_notice(line: Column, overlap: float) -> Column:
+    """Whether a paragraph in lower case holds ``overlap`` of any notice, without which no family is confirmed."""
+    notices = [list(dict.fromkeys(words(x))) for xs in NOTICES.values() for x in xs]
+    array = lambda ws: F.array(*[F.lit(w) for w in ws])
+    held = F.array_intersect(F.split(line, SPLIT), array(sorted({w for n in notices for w in n})))
+    any_of = lambda h: F.exists(F.array(*[array(n) for n in notices]), lambda n: F.size(F.array_intersect(h, n)) / F.size(n) >= overlap)
+    return F.element_at(F.transform(F.array(held), any_of), 1)
+
+
 def _paragraph(line: Column, model: Model) -> Column:
     """struct(family, probability, overlap) of one paragraph in lower case."""
     doubles = lambda xs: F.array(*[F.lit(float(v)) for v in xs])
@@ -180,7 +198,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(f"{ADDED}low", F.lower("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     found = F.filter(
-        F.transform(F.filter(lines, lambda x: _has_cue(F.lower(x), model.cues)), lambda x: F.struct(_paragraph(F.lower(x), model).alias("p"), x.alias("text"))),
+        F.transform(F.filter(lines, lambda x: _has_cue(F.lower(x), model.cues) & _near_notice(F.lower(x), model.overlap)), lambda x: F.struct(_paragraph(F.lower(x), model).alias("p"), x.alias("text"))),
         lambda s: (s["p"]["family"] != UNKNOWN) & (s["p"]["probability"] >= model.least) & (s["p"]["overlap"] >= model.overlap),
     )
     flat = F.transform(found, lambda s: F.struct(s["p"]["family"].alias("family"), s["p"]["probability"].alias("probability"), s["p"]["overlap"].alias("overlap"), s["text"].alias("text")))
