@@ -91,10 +91,13 @@ def test_quality(spark, docs_of, odd, labelled):
 
 def test_contexts_against_brute_force():
     rng = np.random.default_rng(1)
-    index = quality_model.index_vectors(50, 8)
-    ids = [rng.integers(0, 50, n) for n in (0, 1, 2, 30)]
-    got, want = np.zeros((50, 8)), np.zeros((50, 8))
-    quality_model.add_contexts(ids, index, got)
+    codes = quality_model.index_codes(50, 8)
+    index, want = np.zeros((50, 8)), np.zeros((50, 8))
+    for code in codes:
+        for k, c in enumerate(code):
+            index[k, c % 8] += -1 if c >= 8 else 1
+    ids = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 2, 30)]
+    got = quality_model.contexts(ids, codes, 8)
     for d in ids:
         for i, k in enumerate(d):
             for j in range(max(0, i - quality_model.REACH), min(len(d), i + quality_model.REACH + 1)):
@@ -103,9 +106,31 @@ def test_contexts_against_brute_force():
     assert np.allclose(got, want)
 
 
-def test_vectors_are_the_same_however_rows_are_dealt(docs_of):
-    rows, _ = corpus(60)
-    assert np.allclose(quality_model.context_vectors(docs_of(rows).repartition(1)), quality_model.context_vectors(docs_of(rows).repartition(5)))
+def test_rows_of_pieces(monkeypatch):
+    text = "Ab1 ab,, ab,,\n été 12 ab  ".encode() + b"y" * 300 + b" ab"
+    ids = quality_model.bucket_ids(text)
+    ab, comma, e = ids[2], ids[3], ids[6]
+    assert len(ids) == 11 and ids[4] == ids[8] == ids[10] == ab and ids[5] == comma and len({ids[0], ids[1], ab, comma, e, ids[7], ids[9]}) == 7
+    monkeypatch.setattr(quality_model, "BLOCK_BYTES", 3)
+    assert (quality_model.bucket_ids(text) == ids).all()
+    assert not len(quality_model.bucket_ids(None)) and not len(quality_model.bucket_ids(b" \n"))
+
+
+def test_pooling_in_blocks(monkeypatch):
+    vectors = np.random.default_rng(2).normal(size=(quality_model.BUCKETS, quality_model.DIM)).astype(np.float32)
+    text = " ".join(WORDS[:50]).encode()
+    want, v = quality_model.pool(text, vectors), vectors[quality_model.bucket_ids(text)]
+    assert np.allclose(want, np.concatenate([v.mean(0), v.std(0), np.abs(np.diff(v, axis=0)).mean(0)]), atol=1e-5)
+    monkeypatch.setattr(quality_model, "POOL", 7)
+    assert np.allclose(quality_model.pool(text, vectors), want, atol=1e-5) and not quality_model.pool(None, vectors).any()
+
+
+def test_sums_are_the_same_however_rows_are_dealt(docs_of):
+    rows, _ = corpus(200)
+    ids = [quality_model.bucket_ids(t.encode()) for _, t in rows]
+    want = quality_model.contexts(ids, quality_model.index_codes())
+    for parts in (1, 5, 40):  # 40: more than FAN parts
+        assert (quality_model.context_sums(docs_of(rows).repartition(parts)) == want).all()
 
 
 def test_licenses(spark, docs_of, odd):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,14 +26,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-PIECE = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-
-
-def pieces_of(text: bytes | None) -> list[bytes]:
-    """Runs of letters, of digits and of other characters."""
-    return PIECE.findall(text) if text else []
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
