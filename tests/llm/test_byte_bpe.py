@@ -8,7 +8,7 @@ from wellcut.llm import byte_bpe, packing, token_counts
 from wellcut.llm.queries import vocabulary
 
 tokenizers = pytest.importorskip("tokenizers")
-PARTS = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "don't", "é", " ", "　", "1", "23", "!!", "...", "$$$", "<|endoftext|>", "<|endof", "日本", "😀", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "-", "_", "Ünder", "x" * 40, "ab" * 60, "0" * 50, "́", "'LL", "\x00", "​"]
+PARTS = ["a", "b", " ", "  ", "\n", "\n\n", "\t", "'s", "'", "don't", "é", " ", "　", "1", "23", "!!", "...", "$$$", "<|endoftext|>", "<|endof", "日本", "😀", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "-", "_", "Ünder", "x" * 40, "ab" * 60, "0" * 50, "́", "'LL", "'re", "'d", "l'l", "r'e", "Ж", "ǅ", "\u2003", "\u1680", "\u205f", "\u2028", "à", "Ⅷ", "\x1d", "\x00", "​"]
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +34,7 @@ def test_encode_and_decode_against_the_library(lib, own, fast):
         ids = lib.encode(t, add_special_tokens=False).ids
         got = np.frombuffer(c.encode(t.encode()), "<u4").tolist()
         assert got == ids, t
+        assert c.ids(t.encode()) == c.encode(t.encode())
         assert c.decode(c.encode(t.encode())) == lib.decode(ids, skip_special_tokens=False) == t
 
 
@@ -47,6 +48,37 @@ def test_cuts_never_split_a_token(own):
         assert b"".join(own._fragment(f) for f in own.fragments(b)) == own._fragment(b) if b else True
 
 
+def test_cuts_by_every_pair_of_the_table(own):
+    """Cuts by plain rules: before an ASCII space, between others, after a single space; never inside a character or near an apostrophe."""
+    pieces = ["a", "Z", "1", "é", "日", "ж", " ", "\n", "\t", ".", "$", "'", "\u3000", "\u2003", "\xa0", "\x1d", "-", "“"]
+    unsure = lambda c: 0x1C <= ord(c) < 0x20
+    space = lambda c: c.isspace() or unsure(c)
+    rng = random.Random(5)
+    n = 0
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(2, 9)))
+        want, at = [], 0
+        for i in range(1, len(t)):
+            at += len(t[i - 1].encode())
+            x, y = t[i - 1], t[i]
+            if own.inside[x.encode()[-1], y.encode()[0]]:
+                continue
+            if y in " \t\n\x0b\x0c\r":
+                want.append(at)
+            elif (y == "'" and not (x.isascii() and x.isalnum())) or (x == "'" and y.isascii() and y.isalnum()) or unsure(x):
+                continue
+            elif not space(x) or (x in " \t\n" and (i < 2 or not space(t[i - 2]))):
+                want.append(at)
+        assert own.cuts(t.encode()).tolist() == want, t
+        n += len(want)
+    assert n > 5000
+
+
+def test_more_fragments_than_white_space_gives(own):
+    text = "Grüße, 2 naïve cafés (ça va?): 日本語のテキスト, x1y2z3; foo.bar\n" * 20
+    assert len(own.fragments(text.encode())) > 2 * len(text.split())
+
+
 def test_special_strings_as_plain_text(own):
     plain = tokenizers.Tokenizer.from_file(vocabulary())
     plain.encode_special_tokens = True

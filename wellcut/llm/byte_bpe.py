@@ -1,12 +1,23 @@
 r"""Byte-pair encoding and decoding by forced-boundary splitting.
 
-A byte pair that occurs inside no token of the vocabulary can never be joined, so between such bytes every encoding has
-a cut. Where the pair is moreover a non-space followed by an ASCII space character, the pre-tokenizer has a cut as
-well: no alternative of its pattern crosses from one to the other, nor looks back. At these places a text is split into
-fragments; each is encoded independently and the results are concatenated. Inside a long fragment, pre-tokens are split
-once more at every forbidden byte pair before merging, which keeps each merge problem small however long the text is.
+A byte pair that occurs inside no token of the vocabulary can never be joined, so every encoding has a cut between such
+bytes. A text is cut at all of them, the fragments are encoded independently (each is a few bytes, and most repeat), and
+the ids are concatenated. This holds for texts of any length by one path: the table of 65,536 pairs is looked up for all
+bytes of a text at once.
 
-Fragments repeat, so their encodings are cached in a bounded dictionary per task.
+The vocabulary's pre-tokenizer must not notice a cut either. It reads from left to right, looks back at nothing, and looks
+ahead only past white space, so a cut is certain
+
+* before an ASCII space: what ends there ends there anyway, and a run of spaces that is cut gives the same ids, as nothing
+  joins across the cut;
+* between characters of which the left one isn't a space: either a new pre-token begins there, or the cut is inside one;
+* after a single space: it is a pre-token of its own or the beginning of the next one, across which nothing joins.
+
+It isn't certain inside a character, after a longer run of spaces (the last one of which goes to the next pre-token), and
+where the right part could be read as a contraction or the left one as part of it; there a fragment goes on.
+
+Encodings of fragments are cached in a bounded dictionary per task. A fragment that isn't cached is pre-tokenized and merged,
+by a compiled library where the vocabulary's ids follow the order of its merges, else by a heap over a linked list.
 
 Defined results: a null text is an empty one and has no ids; invalid UTF-8 can't occur in a string column; an added
 special token in the text is one id, as with the library's own default; repeated rows encode alike.
@@ -17,9 +28,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,9 +44,19 @@ from wellcut.llm.common import ADDED, add_columns, prepare, texts
 
 #: Encodings of fragments that a task keeps.
 CACHE = 150_000
+#: Bytes of a fragment that is worth keeping.
+LONGEST = 64
 #: The pre-tokenizer's pattern, a fixed value of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
+SPACE_BYTES = (0x20, *range(0x09, 0x0E))
+ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+#: Separators that are white space to some and control characters to others.
+UNSURE = range(0x1C, 0x20)
+#: White space beyond ASCII: C2 and one of the first, E2 80 and one of the second, E2 81 9F, E1 9A 80, E3 80 80.
+LATIN_ENDS, GENERAL_ENDS = (0x85, 0xA0), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)
+SPACE_ENDS = (*LATIN_ENDS, *GENERAL_ENDS, 0x9F)
+#: What the table says of a pair: no cut, a certain cut, a cut after a single ASCII space, a cut after a character that isn't a space.
+NO, CUT, AFTER_ONE, AFTER_OTHER = range(4)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,6 +66,15 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _table(some: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(some)] = True
+    return out
+
+
+PLAIN_SPACE, LATIN_SPACE, GENERAL_SPACE = _table([*SPACE_BYTES, *UNSURE]), _table(LATIN_ENDS), _table(GENERAL_ENDS)
+
+
 class Codec:
     """A byte-level BPE vocabulary in the JSON format of the tokenizers library."""
 
@@ -72,22 +101,60 @@ class Codec:
                 inside[x[:-1], x[1:]] = True
         self.inside = inside
         self.single = [vocab[bytes([b])] for b in range(256)]
-        # certain cuts of raw text: a forbidden pair of an ASCII non-space and an ASCII space
-        left = {s: bytes(b for b in range(128) if b not in SPACE_BYTES and not inside[b, s]) for s in SPACE_BYTES}
-        usable = bytes(x for x in SPACE_BYTES if left[x])
-        shared = bytes(b for b in range(128) if usable and all(b in left[x] for x in usable))
-        self.cuts = re.compile(rb"(?<=[" + re.escape(shared) + rb"])(?=[" + re.escape(usable) + rb"])" if shared else rb"(?!)")
+        self.kind = self._kinds()
         self.pattern = regex.compile(PATTERN)
-        # where ids follow the order of the merges, compiled code can do the merges of a fragment
+        # where ids follow the order of the merges, compiled code can do the merges
         ordered = all(new == i + 256 for i, (_, new) in enumerate(self.rank.values())) and sorted(self.single) == list(range(256))
         self.fast = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={}) if ordered else None
         self.specials = regex.compile("|".join(regex.escape(k) for k in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.special_bytes = [k.encode() for k in self.special]
         self.cache: dict[bytes, bytes] = {}
 
+    def _kinds(self) -> np.ndarray:
+        """What each pair of bytes says of a cut between them, by 256 * left + right."""
+        kind = np.full((256, 256), NO, np.uint8)
+        for x in range(256):
+            if x in UNSURE:
+                continue
+            left = AFTER_ONE if x in SPACE_BYTES else AFTER_OTHER if x in SPACE_ENDS else CUT
+            for y in range(256):
+                if y in SPACE_BYTES:
+                    kind[x, y] = CUT
+                elif not 0x80 <= y < 0xC0 and not (y == 0x27 and x not in ALNUM) and not (x == 0x27 and y in ALNUM):
+                    kind[x, y] = left
+        for y in SPACE_BYTES:
+            kind[UNSURE, y] = CUT
+        for pair in ("re", "ve", "ll"):
+            kind[ord(pair[0]), ord(pair[1])] = NO
+        kind[self.inside] = NO
+        return kind.reshape(-1)
+
+    def cuts(self, text: bytes) -> np.ndarray:
+        """The places of a text's certain cuts, ascending."""
+        x = np.frombuffer(text, np.uint8)
+        kind = self.kind[(x[:-1].astype(np.uint16) << 8) | x[1:]]
+        at = np.flatnonzero(kind) + 1
+        check = kind[at - 1]
+        if (check > CUT).any():
+            one, other = check == AFTER_ONE, check == AFTER_OTHER
+            fine = np.ones(len(at), bool)
+            fine[one] = ~self._spaces(x, at[one] - 2)
+            fine[other] = ~self._spaces(x, at[other] - 1)
+            at = at[fine]
+        return at
+
+    @staticmethod
+    def _spaces(x: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the characters with these last bytes may be white space; one before the text isn't."""
+        back = lambda k: np.where(end >= k, x[np.maximum(end - k, 0)], 0)
+        c, b, a = back(0), back(1), back(2)
+        general = (b == 0x80) & GENERAL_SPACE[c] | (b == 0x81) & (c == 0x9F)
+        return PLAIN_SPACE[c] | (b == 0xC2) & LATIN_SPACE[c] | (a == 0xE2) & general | (c == 0x80) & ((a == 0xE1) & (b == 0x9A) | (a == 0xE3) & (b == 0x80))
+
     def fragments(self, text: bytes) -> list[bytes]:
         """The text cut at its certain boundaries; concatenated they give the text."""
-        return self.cuts.split(text)
+        at = self.cuts(text).tolist()
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)]
 
     def _merge(self, piece: bytes) -> list[int]:
         """Ids of a piece: merges in order of rank, the leftmost first, by a heap over a linked list."""
@@ -95,13 +162,6 @@ class Codec:
         if len(ids) == 1:
             return ids
         n, rank = len(ids), self.rank
-        if n < 24:  # short: look for the best pair again after each merge
-            while len(ids) > 1:
-                best, at = min((rank.get((ids[i], ids[i + 1]), (1 << 30, 0))[0], i) for i in range(len(ids) - 1))
-                if best == 1 << 30:
-                    break
-                ids[at : at + 2] = [rank[ids[at], ids[at + 1]][1]]
-            return ids
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -121,34 +181,35 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def _fragment(self, fragment: bytes) -> bytes:
-        """Little-endian ids of one fragment."""
-        if self.fast is not None and len(fragment) < 4096:
+        """Little-endian ids of one fragment: pre-tokens, then merges."""
+        if self.fast is not None:
             return array("I", self.fast.encode_ordinary(fragment.decode("utf-8"))).tobytes()
         out: list[int] = []
         for token in self.pattern.findall(fragment.decode("utf-8")):
-            raw = token.encode("utf-8")
-            if (known := self.vocab.get(raw)) is not None and len(raw) == 1:
-                out.append(known)
-                continue
-            x = np.frombuffer(raw, np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.inside[x[:-1], x[1:]]) + 1).tolist(), len(raw)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                out += self._merge(raw[a:b])
+            out += self._merge(token.encode("utf-8"))
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: bytes | None, special: bool = True) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; with special=False the strings of special tokens are plain text."""
+    def _around(self, text: bytes | None, special: bool, plain: Callable[[bytes], bytes]) -> bytes:
+        """The ids of special strings, and what ``plain`` makes of the text around them."""
         if not text:
             return b""
         if special and self.specials is not None and any(s in text for s in self.special_bytes):
             out, at, whole = [], 0, text.decode("utf-8")
             for m in self.specials.finditer(whole):
-                out += [self._plain(whole[at : m.start()].encode()), np.array([self.special[m[0]]], "<u4").tobytes()]
+                out += [plain(whole[at : m.start()].encode()), np.array([self.special[m[0]]], "<u4").tobytes()]
                 at = m.end()
-            return b"".join([*out, self._plain(whole[at:].encode())])
-        return self._plain(text)
+            return b"".join([*out, plain(whole[at:].encode())])
+        return plain(text)
+
+    def encode(self, text: bytes | None, special: bool = True) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; with special=False the strings of special tokens are plain text."""
+        return self._around(text, special, self._split)
+
+    def ids(self, text: bytes | None, special: bool = True) -> bytes:
+        """The same ids without splitting, where compiled code does the merges: for operators that only need ids."""
+        return self._around(text, special, self._split if self.fast is None else self._fragment)
 
-    def _plain(self, text: bytes) -> bytes:
+    def _split(self, text: bytes) -> bytes:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
@@ -157,7 +218,7 @@ class Codec:
             ids = cache.get(f)
             if ids is None:
                 ids = self._fragment(f)
-                if len(f) < 64:
+                if len(f) <= LONGEST:
                     cache[f] = ids
             out.append(ids)
         return b"".join(out)
