@@ -49,6 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL_DIR = ""
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever store."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Stored:
     """A table written once to the shared folder: cuts lineage and survives the loss of executors."""
 
@@ -59,9 +65,7 @@ class Stored:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
