@@ -153,17 +153,24 @@ def test_packing_of_a_table(docs_of, odd, lib):
     assert packing.pack(docs_of(odd).limit(0), vocabulary()).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 6, 64, 1 << 20])
-def test_separator_scan(spark, docs_of, odd, lib, own, tmp_path, block):
+@pytest.mark.parametrize("block", [2, 6, 1 << 20])
+def test_separator_scan(spark, docs_of, odd, own, tmp_path, block, monkeypatch):
     rows = odd if block > 6 else [x for x in odd if x[0] != 5]
+    monkeypatch.setattr(token_counts, "RUN", 3)
+    got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.token_counts(docs_of(rows).repartition(2), vocabulary(), block_bytes=block).collect())
+    assert got == sorted((i or 0, len(own.encode((t or "").encode(), special=False)) // 4) for i, t in rows)
+    # flat files: ids after the last separator, none at all, one torn by the end
     end = 50256
-    blocks = token_counts.flat_blocks(docs_of(rows).repartition(2), vocabulary(), end, block)
-    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["closed"]) for r in token_counts.scan(blocks, end).collect())
-    assert got == sorted((i or 0, len(own.encode((t or "").encode(), special=False)) // 4, True) for i, t in rows)
-    # a flat file, with ids after the last separator
     ids = [end, 5, 6, end, end, 7] + [9] * 50 + [end, 8, 8]
     (tmp_path / "f.bin").write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "g.bin").write_bytes(b"")
-    found = token_counts.scan(token_counts.read_blocks(spark, str(tmp_path), block), end).orderBy("document").collect()
-    assert [(r["document"], r["n_tokens"], r["closed"]) for r in found] == [(0, 0, True), (1, 2, True), (2, 0, True), (3, 51, True), (4, 2, False)]
+    (tmp_path / "h.bin").write_bytes(np.array([3, end], "<u2").tobytes() + b"\x01")
+    (tmp_path / "i.bin").write_bytes(b"\x01")
+    found = token_counts.scan(spark, f"file://{tmp_path}", end, block_bytes=block).orderBy("file", "document").collect()
+    assert [(r["file"], r["document"], r["n_tokens"], r["closed"]) for r in found] == [("f.bin", 0, 0, True), ("f.bin", 1, 2, True), ("f.bin", 2, 0, True), ("f.bin", 3, 51, True), ("f.bin", 4, 2, False), ("h.bin", 0, 1, True)]
     assert token_counts.token_counts(docs_of(rows).limit(0), vocabulary()).count() == 0
+
+
+def test_ids_that_do_not_fit_are_refused(docs_of, tmp_path):
+    with pytest.raises(Exception, match="too large for <u1"):
+        token_counts.write_files(docs_of([(1, "some words of prose")]), vocabulary(), 0, f"file://{tmp_path}/x", "<u1").collect()

@@ -1,23 +1,32 @@
 r"""Token counts of documents in flat, unindexed token files, by a separator scan.
 
 A token file is one run of fixed-width little-endian ids in which an end-of-document id closes each document; nothing
-says where documents begin. Files are read in blocks that ignore document boundaries. Each block is searched for the
-separator in one vectorised comparison and reduced to its number of ids and the positions found. A prefix scan over the
-blocks of a file (running sums and a running maximum) then tells each block where it starts, how many documents ended
-before it and where the last one ended, which is all that is needed to stitch the documents that cross blocks.
+says where documents begin. The files are cut into blocks that ignore document boundaries; tasks read their blocks as byte
+ranges, so a file may be of any size. Each block is searched for the separator in one vectorised comparison and reduced to
+its number of ids and the positions found. A prefix scan over the blocks of a file, within runs of RUN blocks and then over
+the runs, tells each block how many documents ended before it and where the last one ended, which is all that is needed to
+stitch the documents that cross blocks.
 
-Only positions are shuffled, four bytes for each document; the ids never are.
+Only positions are shuffled, eight bytes for each document; the ids never are.
+
+``token_counts`` makes such files of a table of documents in the shared folder, one for each input split, with a table that
+says which document is the how manieth of which file, scans them and deletes them. It does so in ``passes`` over the table,
+by a hash of the ids, so that the files of one pass at a time take disk.
 
 Defined results: an empty document counts 0; ids after the last separator are a document with ``closed`` false; a file
-without ids has no documents; repeated rows are separate documents.
+without ids has no documents; an id torn by the end of a file isn't counted; repeated rows are separate documents; an id
+that the file's width doesn't hold is an error.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -26,103 +35,130 @@ from pyspark.sql import types as T
 
 from wellcut.llm.byte_bpe import codec
 from wellcut.llm.common import prepare, slices, texts
+from wellcut.session import Stored, delete, shared_dir
 
-BLOCK_BYTES = 1 << 20
-BLOCK = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType())])
-
-
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data) of the token files under a path, by Spark's own reader, so on any store. A file is at most 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                view = content.as_buffer()
-                for k in range(max(1, -(-view.size // block_bytes))):
-                    part = view.slice(k * block_bytes, min(block_bytes, view.size - k * block_bytes)) if view.size else b""
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([bytes(part)], pa.binary())], names=BLOCK.names)
+BLOCK_BYTES = 4 << 20
+#: Blocks of a file whose prefix sums one task makes.
+RUN = 1024
+#: Bytes that are gathered before they are written.
+FLUSH = 4 << 20
+FOUND = T.StructType([T.StructField("file", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("block", "n_at", "last_at", "end")], T.StructField("at", T.BinaryType())])
 
-    return files.mapInArrow(cut, BLOCK)
 
+def write_files(docs: DataFrame, path: str, end_id: int, folder: str, dtype: str = "<u2") -> DataFrame:
+    """Writes the ids of docs(doc_id, text) to flat files under ``folder``, one for each input split that has rows.
 
-def flat_blocks(docs: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK_BYTES, dtype: str = "<u2") -> DataFrame:
-    """Blocks of flat token streams, one stream for each input split, with the ids of the documents that end in each block."""
+    Returns (file, document, doc_id), to be evaluated once. A task writes under a name of its own and renames the file
+    when it is whole, so a task that runs again leaves the same file.
+    """
     prepare(docs.sparkSession)
-    schema = T.StructType([*BLOCK.fields, T.StructField("ends", T.ArrayType(docs.schema["doc_id"].dataType))])
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("document", T.LongType()), docs.schema["doc_id"]])
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        name, held, k, ends, kind = f"split-{TaskContext.get().partitionId():06d}", bytearray(), 0, [], pa.int64()
-
-        def block(data: bytes, done: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary()), pa.array([done], pa.list_(kind))], names=schema.names)
-
+        c, most = codec(path), np.iinfo(dtype).max
+        store, root = fs.FileSystem.from_uri(folder)
+        name, own = f"part-{TaskContext.get().partitionId():06d}.bin", f"{root}/_{uuid.uuid4().hex}"
+        out, held, n = None, bytearray(), 0
         for b in slices(batches):
-            kind = b.schema.field("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                held += np.frombuffer(c.encode(text, special=False), "<u4").astype(dtype).tobytes() + end
-                while len(held) >= block_bytes:  # the document may end exactly where the block does
-                    done = [*ends, doc_id] if len(held) == block_bytes else ends
-                    yield block(bytes(held[:block_bytes]), done)
-                    ends, k = [], k + 1
-                    del held[:block_bytes]
-                    if not held:
-                        break
-                else:
-                    ends.append(doc_id)
-        if held:
-            yield block(bytes(held), ends)
+            if out is None:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(own)
+            for text in texts(b):
+                ids = np.frombuffer(c.ids(text, special=False), "<u4")
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"id {ids.max()} is too large for {dtype}")
+                held += ids.astype(dtype).tobytes() + end
+                if len(held) >= FLUSH:
+                    out.write(bytes(held))
+                    held.clear()
+            rows = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([name] * rows, pa.string()), pa.array(range(n, n + rows), pa.int64()), b.column("doc_id")], names=schema.names)
+            n += rows
+        if out is not None:
+            out.write(bytes(held))
+            out.close()
+            store.move(own, f"{root}/{name}")
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def scan(blocks: DataFrame, end_id: int, dtype: str = "<u2") -> DataFrame:
-    """blocks(file, block, data[, ends]): file, document (0, 1, ... in the file), n_tokens without the separator, closed[, doc_id]."""
-    named = "ends" in blocks.columns
-    extra = [blocks.schema["ends"]] if named else []
-    found = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n_at", T.LongType()), T.StructField("last_at", T.LongType()), *extra])
+def files_of(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the files in a folder, or of one file, by Spark's own file systems."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    path = store.resolvePath(path)  # where a mounted path leads
+    found = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+
+
+def search(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """FOUND of each block of the token files: separators, the last one's place and the block's end, in the file; all places."""
+    width = np.dtype(dtype).itemsize
+    step = max(1, block_bytes // width)
+    files = [(path, size // width) for path, size in files_of(spark, folder)]
+    rows = spark.createDataFrame(files, "path string, n long").where("n > 0")
+    rows = rows.select("path", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step))).alias("block")).repartition("path", "block")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, at = [], []
-            for x in b.column("data"):
-                ids = np.frombuffer(x.as_buffer() or b"", dtype) if x.is_valid else np.zeros(0, dtype)
-                n.append(len(ids))
-                at.append(np.flatnonzero(ids == end_id).astype(np.int32))
-            cols = [b.column("file"), b.column("block"), pa.array(n, pa.int64()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([len(a) for a in at], pa.int64()), pa.array([int(a[-1]) if len(a) else None for a in at], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols + ([b.column("ends")] if named else []), names=found.names)
-
-    w = W.partitionBy("file").orderBy("block")
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    rows = blocks.select(*BLOCK.names, *(["ends"] if named else [])).mapInArrow(search, found)
-    rows = rows.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rows = rows.withColumn("first", F.coalesce(F.sum("n_at").over(before), F.lit(0))).withColumn("last", F.coalesce(F.max(F.col("begin") + F.col("last_at")).over(before), F.lit(-1)))
-    rows = rows.withColumn("final", F.lead("block").over(w).isNull())
-    id_type = [T.StructField("doc_id", blocks.schema["ends"].dataType.elementType)] if named else []
-    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("document", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("closed", T.BooleanType()), *id_type])
-
-    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in b.to_pylist():
+                store, name = fs.FileSystem.from_uri(r["path"])
+                begin = r["block"] * step
+                stop = min(r["n"], begin + step)
+                with store.open_input_file(name) as f:
+                    ids = np.frombuffer(f.read_at((stop - begin) * width, begin * width), dtype)
+                at = np.flatnonzero(ids == end_id) + begin
+                cols = [[name.rsplit("/", 1)[-1]], [r["block"]], [len(at)], [int(at[-1]) if len(at) else None], [stop], [at.astype("<i8").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=FOUND.names)
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def stitch(found: DataFrame) -> DataFrame:
+    """FOUND of blocks: file, document (0, 1, ... in the file), n_tokens without the separator, closed."""
+    rows = found.withColumn("run", F.floor(F.col("block") / RUN))
+    runs = rows.groupBy("file", "run").agg(F.sum("n_at").alias("n"), F.max("last_at").alias("last"))
+    earlier = W.partitionBy("file").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select("file", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_run"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("last_run"), F.lead("run").over(W.partitionBy("file").orderBy("run")).isNull().alias("final_run"))
+    inside = W.partitionBy("file", "run").orderBy("block")
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("n_in", F.coalesce(F.sum("n_at").over(before), F.lit(0))).withColumn("last_in", F.max("last_at").over(before)).withColumn("final_in", F.lead("block").over(inside).isNull())
+    rows = rows.join(runs, ["file", "run"]).select("file", "at", "end", (F.col("n_run") + F.col("n_in")).alias("first"), F.coalesce("last_in", "last_run").alias("last"), (F.col("final_run") & F.col("final_in")).alias("final"))
+    out = T.StructType([T.StructField("file", T.StringType()), T.StructField("document", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("closed", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ends = np.frombuffer(r["at"], np.int32).astype(np.int64) + r["begin"]
+                ends = np.frombuffer(r["at"], "<i8")
                 size = np.diff(ends, prepend=r["last"]) - 1
-                left = r["begin"] + r["n"] - 1 - (int(ends[-1]) if len(ends) else r["last"])
-                open_end = r["final"] and left > 0
-                size = np.append(size, left) if open_end else size
+                left = r["end"] - 1 - (int(ends[-1]) if len(ends) else r["last"])
                 closed = np.ones(len(size), bool)
-                if open_end:
-                    closed[-1] = False
-                cols = [pa.array([r["file"]] * len(size), pa.string()), pa.array(r["first"] + np.arange(len(size))), pa.array(size), pa.array(closed)]
-                if named:
-                    cols.append(pa.array([*(r["ends"] or []), *([None] * open_end)], b.schema.field("ends").type.value_type))
-                yield pa.RecordBatch.from_arrays(cols, names=out.names)
-
-    return rows.select("file", "n", "at", "begin", "first", "last", "final", *(["ends"] if named else [])).mapInArrow(stitch, out)
-
-
-def token_counts(docs: DataFrame, path: str, end_id: int = 50256) -> DataFrame:
-    """doc_id, file, document and n_tokens of the documents, counted in their flat token streams."""
-    return scan(flat_blocks(docs, path, end_id), end_id).select("doc_id", "file", "document", "n_tokens")
-
+                if r["final"] and left > 0:
+                    size, closed = np.append(size, left), np.append(closed, False)
+                if len(size):
+                    yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(size), pa.string()), pa.array(r["first"] + np.arange(len(size))), pa.array(size), pa.array(closed)], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
+
+def scan(spark: SparkSession, folder: str, end_id: int, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents of the token files under a folder: file, document, n_tokens, closed."""
+    return stitch(Stored(search(spark, folder, end_id, dtype, block_bytes), "separators").df)
+
+
+def token_counts(docs: DataFrame, path: str, end_id: int = 50256, passes: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, file, document and n_tokens of the documents, counted in their flat token files."""
+    made = []
+    for k in range(passes):
+        folder = f"{shared_dir(docs.sparkSession)}/wellcut/tokens-{uuid.uuid4().hex}"
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k)
+        named = Stored(write_files(part, path, end_id, folder), "named").df
+        if named.isEmpty():
+            made.append(named.withColumn("n_tokens", F.lit(0).cast("long")))
+            continue
+        counted = scan(docs.sparkSession, folder, end_id, block_bytes=block_bytes)
+        delete(docs.sparkSession, folder)
+        made.append(named.join(counted.select("file", "document", "n_tokens"), ["file", "document"]))
+    return reduce(DataFrame.unionByName, made).select("doc_id", "file", "document", "n_tokens")
