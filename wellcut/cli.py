@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark import SparkConf, SparkContext
+
 from wellcut.functions.criterion import SIMPLE, Criterion
 from wellcut.operators.community import ALGORITHMS
 from wellcut.operators.refine import cc, cm, wcc, wcc_rounds
@@ -17,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     both = argparse.ArgumentParser(add_help=False)
     both.add_argument("--edgelist", required=True)
-    both.add_argument("--num-processors", type=int, default=1, help="local threads; a cluster's settings win")
+    both.add_argument("--num-processors", type=int, default=1, help="local threads, where no master is set (spark-submit sets one)")
     both.add_argument("--output-file", required=True)
     both.add_argument("--connectedness-criterion", default="1log_10(n)")
     both.add_argument("--log-level", type=int, default=1, choices=[0, 1, 2])
@@ -37,11 +39,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _master() -> str | None:
+    """The master that spark-submit, the environment or a running session has set."""
+    SparkContext._ensure_initialized()
+    running = SparkContext._active_spark_context
+    return running.master if running else SparkConf().get("spark.master", None)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     log = logger(f"{args.log_header}_0.log" if args.command == "MincutOnly" else args.log_file, args.log_level)
     criterion = Criterion.parse(args.connectedness_criterion)
-    spark = get_spark("wellcut", master=f"local[{args.num_processors}]")
+    spark = get_spark("wellcut", master=None if _master() else f"local[{args.num_processors}]")
     steps = Recorder()
     weighted = args.command == "CM"
     with steps.step("load", "read"):

@@ -73,3 +73,8 @@ class Criterion:
         if self.kind == POWER:
             return F.lit(self.c) * F.pow(n.cast("double"), F.lit(self.x)) < cut
         return F.lit(False)
+
+
+def connected(cut: Column | str) -> Column:
+    """Whether a graph with this minimum cut is connected."""
+    return (F.col(cut) if isinstance(cut, str) else cut) >= 1

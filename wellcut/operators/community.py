@@ -29,7 +29,7 @@ def _move(adj: Weighted, a: list[float], r: float, comm: list[int], rng: random.
     for v in range(n):
         total[comm[v]] += a[v]
         count[comm[v]] += 1
-    empty = [c for c in range(n - 1, -1, -1) if not count[c]]
+    empty = dict.fromkeys(c for c in range(n - 1, -1, -1) if not count[c])  # in order; the last one is taken first
     queue = order or list(range(n))
     rng.shuffle(queue)
     waiting = set(queue)
@@ -51,12 +51,12 @@ def _move(adj: Weighted, a: list[float], r: float, comm: list[int], rng: random.
             if g > gain + 1e-12:
                 best, gain = c, g
         if gain < -1e-12 and count[old] and empty:
-            best = empty[-1]
+            best = next(reversed(empty))
         if best != old:
             if not count[best]:
-                empty.remove(best)
+                del empty[best]
             if not count[old]:
-                empty.append(old)
+                empty[old] = None
             moved = True
             comm[v] = best
             for u in adj[v]:

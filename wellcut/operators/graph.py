@@ -160,8 +160,20 @@ def has_loops(edges: DataFrame) -> bool:
     return not edges.where("src = dst").isEmpty()
 
 
+def incident_edges(edges: DataFrame, mode: str = "all") -> DataFrame:
+    """(node, other, src, dst[, ...]): the edges out of each node, into it, or both; a loop counts at either end."""
+    ways = {"out": [("src", "dst")], "in": [("dst", "src")], "all": [("src", "dst"), ("dst", "src")]}[mode]
+    ends = F.explode(F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in ways])).alias("e")
+    return edges.select(ends, *edges.columns).select("e.node", "e.other", *edges.columns)
+
+
+def neighbours(edges: DataFrame, mode: str = "all") -> DataFrame:
+    """(node, other): the nodes that edges lead to, come from, or both; parallel edges give a row each."""
+    return incident_edges(edges, mode).select("node", "other")
+
+
 def adjacency_list(edges: DataFrame) -> DataFrame:
-    """(node, neighbours): ascending; parallel edges list a neighbour each."""
+    """(node, neighbours): ascending; parallel edges list a neighbour each. A row holds all of a node's; ``neighbours`` is the long form."""
     return symmetric(edges).groupBy("node").agg(F.sort_array(F.collect_list("other")).alias("neighbours"))
 
 
@@ -211,16 +223,17 @@ def cluster_pair_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def sparse_cluster_pairs(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(c1, c2, n_edges, ratio), c1 < c2: pairs joined by fewer edges than a quarter of either's nodes, with the ratio by which they are ranked."""
-    sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    pairs = cluster_pair_edges(edges, clusters).where("c1 < c2")
-    side = lambda c: sizes.select(F.col("cluster_id").alias(c), F.col("n").alias(f"n_{c}"))
-    both = pairs.join(side("c1"), "c1").join(side("c2"), "c2")
+    """(c1, c2, n_edges, ratio), c1 < c2: pairs joined by fewer edges than a quarter of those inside either, with the ratio to the
+    sum of the edges inside, by which they are ranked."""
+    matrix = cluster_pair_edges(edges, clusters)
+    inside = matrix.where("c1 = c2")
+    side = lambda c: inside.select(F.col("c1").alias(c), F.col("n_edges").alias(f"n_{c}"))
+    both = matrix.where("c1 < c2").join(side("c1"), "c1").join(side("c2"), "c2")
     return both.where("n_c1 / 4 > n_edges AND n_c2 / 4 > n_edges").select("c1", "c2", "n_edges", (F.col("n_edges") / (F.col("n_c1") + F.col("n_c2"))).alias("ratio"))
 
 
 def restore_inter_cluster_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges inside clusters, and those between the sparse pairs of clusters."""
+    """Edges inside clusters, and those between the sparse pairs of clusters, once each."""
     pairs = sparse_cluster_pairs(edges, clusters).select(F.col("c1").alias("lo"), F.col("c2").alias("hi"))
     both = _ends(edges, clusters, "inner").withColumn("lo", F.least("c_src", "c_dst")).withColumn("hi", F.greatest("c_src", "c_dst"))
     inside = both.where("lo = hi").select(*edges.columns)
@@ -267,12 +280,6 @@ def cluster_partition_assignment(clusters: DataFrame, parts: int) -> DataFrame:
 # numbering
 
 
-def canonical_clusters(groups: DataFrame) -> DataFrame:
-    """(node, cluster) with cluster = the smallest node of the group, for (node, group)."""
-    low = groups.groupBy("group").agg(F.min("node").alias("cluster"))
-    return groups.join(low, "group").select("node", "cluster")
-
-
 def renumber(clusters: DataFrame) -> DataFrame:
     """(node, cluster_id): ids 0.. without gaps, in the order of each cluster's smallest node."""
     low = clusters.groupBy("cluster_id").agg(F.min("node").alias("low"))

@@ -51,11 +51,6 @@ def subgraph(adj: Adjacency, nodes: set[int]) -> Adjacency:
     return {u: {v: w for v, w in adj[u].items() if v in nodes} for u in nodes}
 
 
-def leaf(adj: Adjacency) -> int | None:
-    """The smallest node with one edge."""
-    return min((u for u, n in adj.items() if len(n) == 1 and next(iter(n.values())) == 1), default=None)
-
-
 def _scan(adj: Adjacency) -> tuple[list[int], dict[tuple[int, int], int], list[int]]:
     """Maximum-adjacency order from the smallest node, bounds of the edges, and the cut after each prefix."""
     start = min(adj)

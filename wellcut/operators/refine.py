@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import time
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from wellcut.functions.criterion import SIMPLE, Criterion
 from wellcut.operators.community import cluster, cluster_graph
 from wellcut.operators.components import components_by_star, components_by_task
 from wellcut.operators.graph import dense_numbers, intra_cluster_edges, with_default_weight
-from wellcut.operators.mincut import Adjacency, adjacency, components, global_min_cut, leaf, subgraph
+from wellcut.operators.mincut import Adjacency, adjacency, components, global_min_cut, subgraph
 from wellcut.session import Stored
 
 #: Edges of a cluster up to which one task finds its components.
@@ -168,7 +169,6 @@ def wcc_rounds(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(
     pending = Stored(_by_component(edges, clusters, strategy).select(F.col("component").alias("group"), "src", "dst"), "pending")
     spark = edges.sparkSession
     telemetry: list[dict] = []
-    done: DataFrame | None = None
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         passed, parts = split_once(adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy()), c)
@@ -181,20 +181,25 @@ def wcc_rounds(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(
                 rows += [(False, low, u, v) for u, n in p.items() for v, w in n.items() if u < v for _ in range(w)]
         return pd.DataFrame(rows, columns=["done", "group", "src", "dst"]).astype({"done": bool, "group": np.int64, "src": np.int64, "dst": np.int64})
 
+    kept: list[Stored] = []
     for i in range(max_rounds):
         began = time.perf_counter()
         out = Stored(pending.df.groupBy("group").applyInPandas(step, "done boolean, group long, src long, dst long"), "round")
         row = out.df.agg(
-            F.count_distinct(F.when(F.col("done"), F.col("group"))).alias("finished"), F.count_distinct(F.when(~F.col("done"), F.col("group"))).alias("left"), F.count("*").alias("rows")
+            F.count_distinct(F.when(F.col("done"), F.col("group"))).alias("finished"), F.count_distinct(F.when(~F.col("done"), F.col("group"))).alias("left")
         ).first()
-        telemetry.append({"stage": "wcc", "iteration": i, "op": "split", "wall_s": time.perf_counter() - began, "bytes": 25 * row["rows"], "finished": row["finished"], "pending": row["left"]})
-        part = out.df.where("done").select(F.col("src").alias("node"), "group")
-        done = part if done is None else done.unionByName(part)
-        pending = Stored(out.df.where("NOT done").select("group", "src", "dst"), "pending")
+        telemetry.append({"stage": "wcc", "iteration": i, "op": "split", "wall_s": time.perf_counter() - began, "bytes": out.size(), "finished": row["finished"], "pending": row["left"]})
+        pending.drop()
+        if row["finished"]:
+            kept.append(Stored(out.df.where("done").select(F.col("src").alias("node"), "group"), "done"))
+        if row["left"]:
+            pending = Stored(out.df.where("NOT done").select("group", "src", "dst"), "pending")
+        out.drop()
         if not row["left"]:
             break
-    if done is None:
-        done = spark.createDataFrame([], "node long, group long")
+    else:
+        raise RuntimeError(f"clusters were left after {max_rounds} rounds")
+    done = reduce(DataFrame.unionByName, [x.df for x in kept]) if kept else spark.createDataFrame([], "node long, group long")
     return _named(done, canonical), telemetry
 
 
@@ -208,16 +213,15 @@ def cm_cluster(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, criterion:
             weights[k] = weights.get(k, 0.0) + w
     queue, done = deque(subgraph(adj, set(c)) for c in components(adj) if len(c) > 1), []
     while queue:
-        now = queue.popleft()
+        now, passed = peel(queue.popleft(), criterion)
         while len(now) > 1:
-            u = leaf(now)
-            cut, side = (1, [u]) if u is not None else global_min_cut(now)
-            if criterion.holds(len(now), cut):
+            found = None if passed else global_min_cut(now, criterion.required_cut(len(now)))
+            if found is None:
                 done.append(sorted(now))
                 break
-            rest = set(now) - set(side)
-            if len(side) > 1 and len(rest) > 1:
-                for part in (set(side), rest):
+            side = found[1]
+            if len(side) > 1:
+                for part in (set(side), set(now) - set(side)):
                     sub = subgraph(now, part)
                     pairs = [(a, b) for a in sorted(sub) for b in sorted(sub[a]) if a < b for _ in range(sub[a][b])]
                     if not pairs:
@@ -229,7 +233,10 @@ def cm_cluster(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, criterion:
                     queue.extend(subgraph(inner, set(c)) for c in components(inner) if len(c) > 1)
                 break
             # a trivial cut: the single node goes, or both where two nodes are left
-            now = subgraph(now, (set() if len(side) == 1 else set(side)) | (set() if len(rest) == 1 else rest))
+            now = {u: dict(n) for u, n in now.items() if u != side[0]}
+            for n in now.values():
+                n.pop(side[0], None)
+            now, passed = peel({u: n for u, n in now.items() if n}, criterion)
     return done
 
 

@@ -17,12 +17,24 @@ def _copurchase(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     return baskets.select(pairs.alias("p")).groupBy("p.src", "p.dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def part_copurchase(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    return _copurchase(spark, sf_dir, "l_partkey").where(F.col("weight") >= least)
+def part_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copurchase(spark, sf_dir, "l_partkey")
 
 
-def supplier_copurchase(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
-    return _copurchase(spark, sf_dir, "l_suppkey").where(F.col("weight") >= least)
+def supplier_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _copurchase(spark, sf_dir, "l_suppkey")
+
+
+def brand_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part edges inside brands, and those between brands that join two parts of a size up to 17.
+
+    Between brands there are then about as many edges as a quarter of those inside one, at every scale: some pairs of
+    brands are sparse and some aren't, where all edges of random orders would leave none sparse.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    side = lambda end: parts.select(F.col("p_partkey").alias(end), F.col("p_brand").alias(f"b_{end}"), F.col("p_size").alias(f"s_{end}"))
+    both = part_copurchase(spark, sf_dir).join(side("src"), "src").join(side("dst"), "dst")
+    return both.where("b_src = b_dst OR (s_src <= 17 AND s_dst <= 17)").select("src", "dst", "weight")
 
 
 def part_brands(spark: SparkSession, sf_dir: str) -> DataFrame:

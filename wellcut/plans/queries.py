@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellcut.functions.criterion import Criterion
+from wellcut.functions.criterion import Criterion, connected
 from wellcut.operators import graph as g
 from wellcut.operators.community import cluster_graph
-from wellcut.operators.mincut import min_cuts
+from wellcut.operators.components import components_by_task
+from wellcut.operators.mincut import min_cut_sides, min_cuts
 from wellcut.operators.refine import cc, cm, connected_components, wcc, wcc_rounds
-from wellcut.plans.datasets import part_brands, part_copurchase, supplier_copurchase, supplier_nations
-from wellcut.session import table
+from wellcut.plans.datasets import brand_graph, part_brands, part_copurchase, supplier_copurchase, supplier_nations
+from wellcut.session import Stored, shared_dir, table
+from wellcut.sources import io
 from wellcut.telemetry import totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,18 +33,13 @@ def _node_cluster(df: DataFrame) -> DataFrame:
     return df.select("node", F.col("cluster_id").cast("long").alias("cluster"))
 
 
-def _supplier_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers of a nation that share 24 orders or more: small components with cuts of 1 and 2."""
-    return supplier_copurchase(spark, sf_dir, 24), supplier_nations(spark, sf_dir)
-
-
-def _all_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Suppliers of a nation that share an order: every edge."""
+def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers of a nation that share an order."""
     return supplier_copurchase(spark, sf_dir), supplier_nations(spark, sf_dir)
 
 
-def _all_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts of a brand that share an order: every edge."""
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts of a brand that share an order."""
     return part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)
 
 
@@ -49,13 +48,10 @@ def _component_edges(e: DataFrame, c: DataFrame) -> DataFrame:
     return inside.join(connected_components(e, c).select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst")
 
 
-def _supplier_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _component_edges(*_supplier_graph(spark, sf_dir))
-
-
 def _flags(edges: DataFrame) -> DataFrame:
     named = {"log10": "1log_10(n)", "twice_log10": "2log_10(n)"}
-    return min_cuts(edges).select("component", "n_nodes", "cut_size", *[Criterion.parse(c).column("n_nodes", "cut_size").alias(k) for k, c in named.items()])
+    flags = [Criterion.parse(c).column("n_nodes", "cut_size").alias(k) for k, c in named.items()]
+    return min_cuts(edges).select("component", "n_nodes", "cut_size", connected("cut_size").alias("connected"), *flags)
 
 
 # relational operators
@@ -63,13 +59,16 @@ def _flags(edges: DataFrame) -> DataFrame:
 
 @query
 def node_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = part_copurchase(spark, sf_dir, 2)
+    e = part_copurchase(spark, sf_dir)
     return g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node")))
 
 
 @query
 def encoded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(part_copurchase(spark, sf_dir, 2))
+    e = part_copurchase(spark, sf_dir)
+    named = e.select(F.concat(F.lit("p"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"))
+    d = g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))).select(F.concat(F.lit("p"), "node").alias("node"), "id")
+    return g.encode_edges(named, d)
 
 
 @query
@@ -116,7 +115,22 @@ def self_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def adjacency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.adjacency_list(part_copurchase(spark, sf_dir, 2)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
+    return g.adjacency_list(part_copurchase(spark, sf_dir)).select("node", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query
+def out_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.neighbours(part_copurchase(spark, sf_dir), "out")
+
+
+@query
+def in_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.neighbours(part_copurchase(spark, sf_dir), "in")
+
+
+@query
+def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.incident_edges(supplier_copurchase(spark, sf_dir))
 
 
 @query
@@ -126,7 +140,7 @@ def intra_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inter_cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.inter_cluster_edges(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir)).select("src", "dst")
+    return g.inter_cluster_edges(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)).select("src", "dst")
 
 
 @query
@@ -143,12 +157,12 @@ def deleted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def degree_one_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.degree_one_nodes(_supplier_components(spark, sf_dir), "component")
+    return g.degree_one_nodes(_component_edges(*_parts(spark, sf_dir)), "component")
 
 
 @query
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.component_sizes(connected_components(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir)))
+    return g.component_sizes(connected_components(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)))
 
 
 @query
@@ -163,12 +177,12 @@ def cluster_pair_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sparse_cluster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.sparse_cluster_pairs(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
+    return g.sparse_cluster_pairs(brand_graph(spark, sf_dir), part_brands(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query
 def restored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.restore_inter_cluster_edges(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir)).select("src", "dst")
+    return g.restore_inter_cluster_edges(brand_graph(spark, sf_dir), part_brands(spark, sf_dir)).select("src", "dst")
 
 
 @query
@@ -186,14 +200,31 @@ def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.graph_density(part_copurchase(spark, sf_dir)).withColumn("density", F.round("density", 9))
 
 
+@query
+def density_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of brands, which has loops: density with and without them, directed and not, with the number of possible edges."""
+    e = g.collapse_graph(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir))
+    one = lambda loops, directed: g.graph_density(e, None, loops, directed).select(F.lit(loops).alias("loops"), F.lit(directed).alias("directed"), "n_nodes", g.possible_edges(F.col("n_nodes"), loops).cast("double").alias("possible"), F.round("density", 9).alias("density"))
+    rows = [one(loops, directed) for loops in (False, True) for directed in (False, True)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def ordered_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by size, then the greatest part size, then number, with their place."""
+    rows = table(spark, sf_dir, "part").groupBy(F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("id")).agg(F.count("*").alias("size"), F.max("p_size").alias("third"))
+    ordered = g.order_communities(rows)
+    return g.dense_numbers(ordered.withColumn("falling", F.struct(-F.col("size"), -F.col("third"), "id")), ["falling"], "place").drop("falling")
+
+
 @query
 def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.modularity(part_copurchase(spark, sf_dir, 2).drop("weight"), part_brands(spark, sf_dir)).select(F.round("modularity", 6).alias("modularity"))
+    return g.modularity(part_copurchase(spark, sf_dir).drop("weight"), part_brands(spark, sf_dir)).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query
 def cpm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.cpm_quality(part_copurchase(spark, sf_dir, 2).drop("weight"), part_brands(spark, sf_dir), 0.01).select(F.round("cpm", 6).alias("cpm"))
+    return g.cpm_quality(part_copurchase(spark, sf_dir).drop("weight"), part_brands(spark, sf_dir), 0.01).select(F.round("cpm", 6).alias("cpm"))
 
 
 @query
@@ -243,47 +274,68 @@ def connected_components_by_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mincut_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return min_cuts(_supplier_components(spark, sf_dir)).select("component", "n_nodes", "cut_size")
+    return min_cuts(_component_edges(*_suppliers(spark, sf_dir))).select("component", "n_nodes", "cut_size")
+
+
+@query
+def mincut_value_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return min_cuts(_component_edges(*_parts(spark, sf_dir))).select("component", "n_nodes", "cut_size")
+
+
+@query
+def cut_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sides of the minimum cuts: 0 is the smaller one, of the smallest node in a tie."""
+    return min_cut_sides(_component_edges(*_suppliers(spark, sf_dir)))
 
 
 @query
 def well_connected_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flags(_supplier_components(spark, sf_dir))
+    return _flags(_component_edges(*_suppliers(spark, sf_dir)))
+
+
+@query
+def well_connected_flag_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(_component_edges(*_parts(spark, sf_dir)))
 
 
 @query
 def cc_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(cc(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir), canonical=True))
+    return _node_cluster(cc(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir), canonical=True))
 
 
 @query
 def cc_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(cc(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir)))
+    return _node_cluster(cc(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)))
 
 
 @query
 def wcc_log10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(part_copurchase(spark, sf_dir, 2), part_brands(spark, sf_dir), "1log_10(n)", canonical=True))
+    return _node_cluster(wcc(*_suppliers(spark, sf_dir), "1log_10(n)", canonical=True))
 
 
 @query
 def wcc_2log10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(*_supplier_graph(spark, sf_dir), "2log_10(n)", canonical=True))
+    return _node_cluster(wcc(*_suppliers(spark, sf_dir), "2log_10(n)", canonical=True))
 
 
 @query
 def wcc_2log10_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc_rounds(*_supplier_graph(spark, sf_dir), "2log_10(n)", canonical=True)[0])
+    return _node_cluster(wcc_rounds(*_suppliers(spark, sf_dir), "2log_10(n)", canonical=True)[0])
 
 
 @query
 def wcc_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(*_all_suppliers(spark, sf_dir), "1n^0.5", canonical=True))
+    return _node_cluster(wcc(*_suppliers(spark, sf_dir), "1n^0.5", canonical=True))
 
 
 @query
 def wcc_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir), "1log_10(n)", canonical=True))
+    return _node_cluster(wcc(*_parts(spark, sf_dir), "1log_10(n)", canonical=True))
+
+
+@query
+def wcc_2log10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _node_cluster(wcc(*_parts(spark, sf_dir), "2log_10(n)", canonical=True))
 
 
 @query
@@ -314,47 +366,125 @@ def _cm(algorithm: str) -> Query:
 QUERIES |= {"cm_leiden_cpm": _cm("leiden-cpm"), "cm_leiden_mod": _cm("leiden-mod"), "cm_louvain": _cm("louvain")}
 
 
-# cuts over every edge: too large for SQL, which enumerates sides
+# what holds of every result, however ties and random moves fall
+
+
+def broken_rules(found: DataFrame, edges: DataFrame, clusters: DataFrame, criterion: str | None) -> DataFrame:
+    """One row of counts that are 0 for a right result found(node, cluster) of edges and clusters: nodes in two clusters, clusters
+    that span two of the given ones, of one node, in parts, or with a minimum cut that doesn't pass."""
+    rows = Stored(found, "rules").df
+    given = rows.join(clusters, "node")
+    inside = g.intra_cluster_edges(edges, rows.withColumnRenamed("cluster", "cluster_id"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("node").alias("low"))
+    parts = components_by_task(inside).groupBy(F.col("cluster_id").alias("cluster")).agg(F.count("*").alias("reached"), F.count_distinct("component").alias("parts"))
+    whole = sizes.join(parts, "cluster", "left")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    bad = [
+        count(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "repeated"),
+        count(given.groupBy("cluster").agg(F.count_distinct("cluster_id").alias("n")).where("n > 1"), "spanning"),
+        count(sizes.where("size < 2 OR low <> cluster"), "small_or_misnamed"),
+        count(whole.where("coalesce(parts, 0) <> 1 OR reached <> size"), "in_parts"),
+    ]
+    if criterion:
+        cuts = min_cuts(inside.withColumnRenamed("cluster_id", "component"))
+        bad.append(count(cuts.where(~Criterion.parse(criterion).column("n_nodes", "cut_size")), "weak"))
+    return reduce(g.beside, bad)
+
+
+def _rules(name: str, criterion: str | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, c = _parts(spark, sf_dir)
+        found = QUERIES[name](spark, sf_dir)
+        if not criterion:  # communities keep nodes that are alone
+            sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+            found = found.join(sizes, "cluster", "left_semi").select("node", "cluster")
+        return broken_rules(found, e, c, criterion)
+
+    return run
 
 
-def _on(graph: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]], run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: run(*graph(spark, sf_dir))
+RULED = {"wcc_2log10_parts": "2log_10(n)", "cm_leiden_cpm": "1log_10(n)", "cm_leiden_mod": "1log_10(n)", "cm_louvain": "1log_10(n)", "leiden_cpm": None, "leiden_mod": None}
+QUERIES |= {f"rules_of_{name}": _rules(name, criterion) for name, criterion in RULED.items()}
 
 
-CUTS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "degree_one_nodes": lambda e, c: g.degree_one_nodes(_component_edges(e, c), "component"),
-    "mincut_value": lambda e, c: min_cuts(_component_edges(e, c)).select("component", "n_nodes", "cut_size"),
-    "well_connected_flag": lambda e, c: _flags(_component_edges(e, c)),
-    "wcc_2log10": lambda e, c: _node_cluster(wcc(e, c, "2log_10(n)", canonical=True)),
-    "wcc_2log10_rounds": lambda e, c: _node_cluster(wcc_rounds(e, c, "2log_10(n)", canonical=True)[0]),
-    "wcc_sqrt": lambda e, c: _node_cluster(wcc(e, c, "1n^0.5", canonical=True)),
-}
-QUERIES |= {f"{name}_all_suppliers": _on(_all_suppliers, run) for name, run in CUTS.items() if name != "wcc_sqrt"}
-# rounds take single nodes off one job at a time: hundreds of jobs on parts
-QUERIES |= {f"{name}_all_parts": _on(_all_parts, run) for name, run in CUTS.items() if name != "wcc_2log10_rounds"}
+# readers and writers: tables written to files in the shared folder and read again
 
 
-# part graphs over every edge, of the queries whose SQL takes edges of weight 2 and more
+def _written(df: DataFrame, name: str) -> str:
+    """A folder of one text file with the rows of df(value) in the order of its other columns."""
+    path = f"{shared_dir(df.sparkSession)}/wellcut/{name}-{uuid.uuid4().hex}"
+    others = [c for c in df.columns if c != "value"]
+    df.repartition(1).sortWithinPartitions(*others).select("value").write.text(path)
+    return path
 
 
-def _encoded(e: DataFrame) -> DataFrame:
-    named = e.select(F.concat(F.lit("p"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"))
-    d = g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))).select(F.concat(F.lit("p"), "node").alias("node"), "id")
-    return g.encode_edges(named, d)
+def _edge_file(spark: SparkSession, sf_dir: str, sep: str, weighted: bool = False) -> str:
+    name = lambda end: F.concat(F.lit("s"), F.col(end).cast("string"))
+    e = supplier_copurchase(spark, sf_dir)
+    fields = [name("src"), name("dst"), *([F.col("weight").cast("string")] if weighted else [])]
+    return _written(e.select("src", "dst", F.concat_ws(sep, *fields).alias("value")), "edges")
+
+
+def _cluster_file(spark: SparkSession, sf_dir: str, named: bool = True) -> str:
+    """Suppliers by the part they sold, in the order of the lines: a supplier comes up often, with other clusters."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat_ws(" ", F.concat(F.lit("s" if named else ""), F.col("l_suppkey").cast("string")), F.col("l_partkey").cast("string")).alias("value"))
+    return _written(rows, "clusters")
+
+
+@query
+def sniffed_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(name, io.sniff_delimiter(spark, _edge_file(spark, sf_dir, sep))) for name, sep in (("comma", ","), ("tab", "\t"), ("space", "   "))]
+    return spark.createDataFrame(found, "file string, delimiter string")
+
+
+@query
+def read_edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_edges(spark, _edge_file(spark, sf_dir, "   "))[0].select("src", "dst")
+
 
+@query
+def read_edge_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of first appearance."""
+    return io.read_edges(spark, _edge_file(spark, sf_dir, ","))[1].select("node", "id")
+
+
+@query
+def read_weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_edges(spark, _edge_file(spark, sf_dir, " ", True), weighted=True)[0].select("src", "dst", "weight")
 
-EVERY_EDGE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "node_dictionary": lambda e, c: g.node_dictionary(e.select(F.explode(F.array("src", "dst")).alias("node"))),
-    "encoded_edges": lambda e, c: _encoded(e),
-    "adjacency_list": lambda e, c: g.adjacency_list(e).select("node", F.array_join("neighbours", ",").alias("neighbours")),
-    "inter_cluster_edges": lambda e, c: g.inter_cluster_edges(e, c).select("src", "dst"),
-    "component_sizes": lambda e, c: g.component_sizes(connected_components(e, c)),
-    "sparse_cluster_pairs": lambda e, c: g.sparse_cluster_pairs(e, c).withColumn("ratio", F.round("ratio", 6)),
-    "restored_edges": lambda e, c: g.restore_inter_cluster_edges(e, c).select("src", "dst"),
-    "modularity": lambda e, c: g.modularity(e.drop("weight"), c).select(F.round("modularity", 6).alias("modularity")),
-    "cpm_quality": lambda e, c: g.cpm_quality(e.drop("weight"), c, 0.01).select(F.round("cpm", 6).alias("cpm")),
-    "cc_clusters": lambda e, c: _node_cluster(cc(e, c, canonical=True)),
-    "cc_numbered": lambda e, c: _node_cluster(cc(e, c)),
-}
-QUERIES |= {f"{name}_all_parts": _on(_all_parts, run) for name, run in EVERY_EDGE.items()}
-QUERIES["wcc_log10_all_parts"] = QUERIES["wcc_copurchase"]
+
+@query
+def read_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_clustering(spark, _cluster_file(spark, sf_dir))
+
+
+@query
+def read_cluster_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_clustering_ints(spark, _cluster_file(spark, sf_dir, False))
+
+
+@query
+def read_clusters_reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.read_clustering_reindexed(spark, _cluster_file(spark, sf_dir))
+
+
+@query
+def encoded_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of the suppliers by id; suppliers in no order of two suppliers are unknown and go."""
+    _, dictionary = io.read_edges(spark, _edge_file(spark, sf_dir, "\t"))
+    named = supplier_nations(spark, sf_dir).select(F.concat(F.lit("s"), F.col("node").cast("string")).alias("node"), "cluster_id")
+    return g.encode_clusters(named, dictionary)
+
+
+@query
+def written_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wellcut/written-{uuid.uuid4().hex}"
+    io.write_clusters(part_brands(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="node_id long, cluster_id long")
+
+
+@query
+def written_partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wellcut/map-{uuid.uuid4().hex}"
+    io.write_partition_map(part_brands(spark, sf_dir), path)
+    return spark.read.csv(path, schema="node long, cluster_id int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL_DIR
     if not _LOCAL_DIR:
@@ -61,9 +62,15 @@ class Stored:
     def __init__(self, df: DataFrame, name: str = "t"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/wellcut/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        # row groups of 16 MB: a writer holds one in memory
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def size(self) -> int:
+        """Bytes of the files."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
     def drop(self) -> None:
         delete(self.spark, self.path)
 
