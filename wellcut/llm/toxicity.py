@@ -3,10 +3,11 @@ r"""Toxicity by non-negative positive-unlabelled learning (Kiryo et al. 2017), i
 Confirmed toxic examples (P) and unlabelled texts (U) train a linear classifier on words and beginnings of words (present, two, three and five times). With the class prior
 p, the risk is  p * R_P(+1) + max(0, R_U(-1) - p * R_P(-1)):  what the unlabelled texts add to the negative risk is
 corrected by the share of positives among them, and kept from going below zero, which is what overfitting would do.
-The labelled rows that may be learnt from give the prior and, at the end, the scale of the scores (Platt).
+The prior is the share of toxic rows among those whose label may be learnt from; nothing else is learnt from negatives: the
+slope and shift of the scores minimise the same risk on the same two samples.
 
-Bounds, all parameters: ``max_positive`` toxic, ``max_unlabelled`` unlabelled and ``max_scale`` labelled documents are
-sampled by a hash of the id; ``max_features`` words enter the model. Scoring covers every text, whole, in one narrow
+Bounds, all parameters: ``max_positive`` toxic and ``max_unlabelled`` unlabelled documents are sampled by a hash of the id;
+``max_features`` words enter the model. Scoring covers every text, whole, in one narrow
 pass that carries the few weights along.
 
 Defined results: a null or empty text has no words and gets the score of the intercept; ties and repeated rows score
@@ -35,7 +36,7 @@ CACHE = 200_000
 #: Beginnings of words, in characters, and counts in a text that are features beside the words themselves.
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
-#: A feature enters the model where its share in P is so many times that in U.
+#: A feature enters the model where its share in P is so many times that in the negatives of U.
 RATIO = 2.0
 
 
@@ -96,8 +97,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int, least_docs: int = 3) -> np.ndarray:
-    """The features whose share of documents differs most between P and U, in standard errors."""
+def select_features(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, most: int, least_docs: int = 3) -> np.ndarray:
+    """The features whose share of documents differs most between P and U, in standard errors.
+
+    Negatives aren't known; their share of documents with a feature is that in U less what the prior's share of P adds.
+    """
     up, cp = np.unique(np.concatenate([*pos, np.zeros(0, np.int32)]), return_counts=True)
     uu, cu = np.unique(np.concatenate([*unl, np.zeros(0, np.int32)]), return_counts=True)
     every = np.union1d(up, uu)
@@ -106,7 +110,8 @@ def select_features(pos: list[np.ndarray], unl: list[np.ndarray], most: int, lea
     n, m = max(1, len(pos)), max(1, len(unl))
     share = (a + b) / (n + m)
     z = np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-9)
-    z[(a + b < least_docs) | (a / n < RATIO * b / m)] = 0
+    negative = np.maximum(b / m - prior * a / n, 0) / (1 - prior)
+    z[(a + b < least_docs) | (a / n < RATIO * negative)] = 0
     best = np.argsort(-z, kind="stable")[:most]
     return np.sort(every[best[z[best] > 2.5]])
 
@@ -155,26 +160,31 @@ def train_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 120
     return w, float(b)
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift so that sigmoid(slope * z + shift) fits the labels; the slope is kept positive."""
-    if not len(z) or y.all() or not y.any():
-        return 1.0, 0.0
-    sd = max(float(z.std()), 1e-6)
-    t = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    a, b = 1.0 / sd, -float(z.mean()) / sd
-    for _ in range(60):
-        p = _sigmoid(a * z + b)
-        g = np.array([((p - t) * z).sum() + 1e-3 * a, (p - t).sum()])
-        v = p * (1 - p) + 1e-9
-        h = np.array([[(v * z * z).sum() + 1e-3, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(d[0], -1, 1)), b - float(np.clip(d[1], -5, 5))
-        if np.abs(d).max() < 1e-7:
-            break
-    return (a, b) if a > 0 else (1.0 / sd, -float(z.mean()) / sd)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_scale: int = 3000, max_features: int = 300) -> Model:
+def pu_scale(zp: np.ndarray, zu: np.ndarray, prior: float, rounds: int = 400) -> tuple[float, float]:
+    """Slope (positive) and shift of least non-negative risk with the logistic loss, so that sigmoid(slope * z + shift) is a probability.
+
+    The same estimator as in training, on P and U alone, by gradient steps on log slope and shift.
+    """
+    sd = max(float(zu.std()), 1e-6)
+    mean = float(zu.mean())
+    xp, xu = (zp - mean) / sd, (zu - mean) / sd
+    slope, shift = 0.0, math.log(prior / (1 - prior))
+    m1, m2 = np.zeros(2), np.zeros(2)
+    for k in range(1, rounds + 1):
+        a = math.exp(slope)
+        yp, yu = a * xp + shift, a * xu + shift
+        sp, su = _sigmoid(yp), _sigmoid(yu)
+        negative = np.logaddexp(0, yu).mean() - prior * np.logaddexp(0, yp).mean()
+        gp, gu = (prior * (sp - 1) - prior * sp, su) if negative >= 0 else (prior * sp, -su)
+        grad = np.array([a * ((gp * xp).mean() + (gu * xu).mean()), gp.mean() + gu.mean()]) + np.array([1e-4 * slope, 0.0])
+        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+        step = 0.05 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-9)
+        slope, shift = min(6.0, slope - float(step[0])), shift - float(step[1])
+    a = math.exp(slope)
+    return a / sd, shift - a * mean / sd
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unlabelled: int = 6000, max_features: int = 300) -> Model:
     """Trains on docs(doc_id, text) and labels(doc_id, toxic), where crc32(doc_id) mod 3 is not 1."""
     prepare(docs.sparkSession)
     known = labels.where((remainder("doc_id", 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -182,22 +192,20 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2500, max_unla
     if not counts["p"]:
         return Model(empty=True)
     prior = min(0.9, max(counts["p"] / counts["n"], 1e-4))
-    # role: 0 labelled for the scale, 1 confirmed toxic, 2 unlabelled (any document; its label, if any, isn't looked at)
-    mark = lambda rows, most, role, y: sampled(rows.select("doc_id"), most).select("doc_id", F.lit(role).alias("role"), F.lit(y).alias("y"))
-    sample = mark(known.where("toxic = 1"), max_positive, 1, 1).unionByName(mark(docs, max_unlabelled, 2, 0)).unionByName(
-        mark(known.where("toxic <> 1"), max_scale, 0, 0))
-    roles = sample.groupBy("doc_id").agg(F.collect_set("role").alias("roles"), F.max("y").alias("y"))
+    # role: 1 confirmed toxic, 2 unlabelled (any document; its label, if any, isn't looked at)
+    mark = lambda rows, most, role: sampled(rows.select("doc_id"), most).select("doc_id", F.lit(role).alias("role"))
+    sample = mark(known.where("toxic = 1"), max_positive, 1).unionByName(mark(docs, max_unlabelled, 2))
+    roles = sample.groupBy("doc_id").agg(F.collect_set("role").alias("roles"))
     cache: dict[bytes, tuple[int, ...]] = {}
-    made = add_columns(with_texts(docs, roles), [("keys", T.BinaryType())], lambda b: [pa.array([keys_of(x, cache).tobytes() for x in texts(b)], pa.binary())], ["text", "roles", "y"])
-    rows = [(np.frombuffer(r[f"{ADDED}keys"], np.int32), set(r["roles"]), r["y"]) for r in made.select(f"{ADDED}keys", "roles", "y").collect()]
-    pos, unl = [k for k, r, _ in rows if 1 in r], [k for k, r, _ in rows if 2 in r]
+    made = add_columns(with_texts(docs, roles), [("keys", T.BinaryType())], lambda b: [pa.array([keys_of(x, cache).tobytes() for x in texts(b)], pa.binary())], ["doc_id", "text", "roles"])
+    rows = sorted((r["doc_id"], r[f"{ADDED}keys"], r["roles"]) for r in made.select("doc_id", f"{ADDED}keys", "roles").collect())
+    pos, unl = ([np.frombuffer(k, np.int32) for _, k, r in rows if role in r] for role in (1, 2))
     if not pos or not unl:
         return Model(empty=True)
-    features = select_features(pos, unl, max_features)
+    features = select_features(pos, unl, prior, max_features)
     w, b = train_nnpu(design(pos, features), design(unl, features), prior)
-    scale = [(k, y) for k, r, y in rows if r & {0, 1}]
-    z = design([k for k, _ in scale], features) @ w + b
-    return Model({int(k): float(v) for k, v in zip(features, w, strict=True)}, b, platt(z, np.array([y == 1 for _, y in scale], bool)))
+    scale = pu_scale(design(pos, features) @ w + b, design(unl, features) @ w + b, prior)
+    return Model({int(k): float(v) for k, v in zip(features, w, strict=True)}, b, scale)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
