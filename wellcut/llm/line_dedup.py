@@ -119,19 +119,20 @@ def _position_schema(lines: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("g", T.LongType()), lines.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("th", "i", "low", "high")]])
 
 
-def _matched(positions: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def _matched(positions: DataFrame, lines: DataFrame) -> Stored:
     """positions of _position_schema, joined with the first position of each g and extended: (doc_id, th, g, lo, hi, words, whole).
 
     Lines lo..hi match; whole tells whether they hold all windows low..high of the position. Documents are compared
     once for each pair of a document and an anchor's document.
     """
-    dealt = positions.distinct().repartition("g")
-    first = dealt.groupBy("g").agg(F.min(F.struct("doc_id", "th", "i")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = dealt.join(first, "g").where("struct(doc_id, th, i) <> a")
-    pairs = later.groupBy("doc_id", "th", F.col("a.doc_id").alias("a_id"), F.col("a.th").alias("a_th")).agg(F.collect_list(F.struct("g", "i", "low", "high", F.col("a.i").alias("ai"))).alias("m"))
+    # counted by partial aggregates and written down, as the anchors' lines are: a join's side with a hot key can then be split
+    first = Stored(positions.groupBy("g").agg(F.min(F.struct("doc_id", "th", "i")).alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     own = lines.select("doc_id", "th", "h", "w").dropDuplicates(["doc_id", "th"])
-    other = own.select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("h").alias("a_h"))
-    both = pairs.join(own, ["doc_id", "th"]).join(other, ["a_id", "a_th"]).select("doc_id", "th", "h", "w", "a_h", "m")
+    anchors = first.df.select("a.doc_id", "a.th").distinct()
+    other = Stored(own.join(anchors, ["doc_id", "th"], "left_semi").select(F.col("doc_id").alias("a_id"), F.col("th").alias("a_th"), F.col("h").alias("a_h")), "anchors")
+    later = positions.join(first.df, "g").where("struct(doc_id, th, i) <> a")
+    pairs = later.groupBy("doc_id", "th", F.col("a.doc_id").alias("a_id"), F.col("a.th").alias("a_th")).agg(F.collect_set(F.struct("g", "i", "low", "high", F.col("a.i").alias("ai"))).alias("m"))
+    both = pairs.join(own, ["doc_id", "th"]).join(other.df, ["a_id", "a_th"]).select("doc_id", "th", "h", "w", "a_h", "m")
     schema = T.StructType([lines.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("th", "g", "lo", "hi", "words")], T.StructField("whole", T.BooleanType())])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +159,10 @@ def _matched(positions: DataFrame, lines: DataFrame, least: int) -> DataFrame:
                 *numbers, whole = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(ids)), *(pa.array(c, pa.int64()) for c in numbers), pa.array(whole)], names=schema.names)
 
-    return both.mapInArrow(extend, schema)
+    found = Stored(both.mapInArrow(extend, schema), "runs")
+    first.drop()
+    other.drop()
+    return found
 
 
 def _windows(positions: DataFrame, lines: DataFrame, least: int, gram: int) -> DataFrame:
@@ -183,14 +187,17 @@ def _windows(positions: DataFrame, lines: DataFrame, least: int, gram: int) -> D
 def repeated_runs(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, th (hash of its text) and spans: runs of lines (lo, hi), counted among lines with a word, that occurred before."""
     gram = min(gram, least)
-    lines = Stored(_lines(docs, least, gram), "lines").df
-    positions = _positions(lines)
-    one = Stored(_matched(positions, lines, least), "runs").df
-    unsure = one.where("NOT whole").select("g").distinct()
-    unsure = positions.join(unsure, "g", "left_semi").select("doc_id", "th", "i")
-    two = _matched(_windows(unsure, lines, least, gram), lines, least)
-    sure = one.unionByName(two).where(F.col("words") >= least)
-    return sure.groupBy("doc_id").agg(F.collect_set(F.struct("th", "lo", "hi")).alias("spans"))
+    lines = Stored(_lines(docs, least, gram), "lines")
+    positions = _positions(lines.df)
+    one = _matched(positions, lines.df)
+    unsure = Stored(one.df.where("NOT whole").select("g").distinct(), "unsure")
+    again = positions.join(unsure.df, "g", "left_semi").select("doc_id", "th", "i")
+    two = _matched(_windows(again, lines.df, least, gram), lines.df)
+    sure = one.df.unionByName(two.df).where(F.col("words") >= least)
+    spans = Stored(sure.groupBy("doc_id").agg(F.collect_set(F.struct("th", "lo", "hi")).alias("spans")), "spans")
+    for x in (lines, one, unsure, two):
+        x.drop()
+    return spans.df
 
 
 def _positions(lines: DataFrame) -> DataFrame:
@@ -224,8 +231,9 @@ def keep_first(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFra
 
 
 def dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """docs with the deduplicated text; wc__n_lines and wc__n_removed are added."""
-    spans = Stored(repeated_runs(docs, least, gram), "spans").df
+    """docs with the deduplicated text; wc__n_lines and wc__n_removed are added, columns that begin like these go."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(ADDED)])
+    spans = repeated_runs(docs, least, gram)
     # only documents that may lose lines are shuffled
     clear, rest = split_by_ids(docs, spans.select("doc_id"))
     spans = spans.withColumnsRenamed({"doc_id": f"{ADDED}id", "spans": f"{ADDED}spans"})
