@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from wellcut.llm import line_dedup, near_dup, vector_dup
+from pyspark.sql import functions as F
+
+from wellcut.llm import id_filter, line_dedup, near_dup, vector_dup
 
 VOCAB = [a + b for a in "ba ke lo mi nu po ra se ti vu".split() for b in "da fe gi ho ju ka le mo".split()]
 
@@ -97,6 +99,26 @@ def test_keep_leaves_one_row_of_each_component(docs_of, odd):
     assert near_dup.keep(docs.limit(0), 2).count() == 0 and near_dup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_is_the_same_however_rows_are_dealt(spark, docs_of):
+    """Ids that repeat with the same and with other texts, and columns with the operators' own names."""
+    rng = random.Random(12)
+    some = [sentence(rng, 40) for _ in range(3)]
+    rows = [(1, some[0]), (1, some[0]), (1, some[1]), (2, some[1]), (3, some[2]), (3, None), (3, None)]
+    docs = docs_of(rows).withColumns({c: F.lit("x") for c in ("wc__filter_h", "wc__filter_null", "gone", "row", "a")}).withColumn("m", F.create_map(F.lit("k"), F.monotonically_increasing_id()))
+    found = [sorted((r["doc_id"], r["text"] or "", str(r["m"])) for r in near_dup.keep(docs.repartition(n, "m"), 2).collect()) for n in (1, 5)]
+    assert found[0] == found[1]
+    assert [x[:2] for x in found[0]] == sorted([(1, some[0]), (1, some[1]), (3, some[2]), (3, "")])
+
+
+def test_ids_beyond_the_filter_are_joined(docs_of, odd, monkeypatch):
+    monkeypatch.setattr(id_filter, "MOST_BITS", 8)
+    rows = [(100 + i, t) for i, t in copies(4, 40)] + odd
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs_of(rows), 2).collect()}
+    assert got.pop(None) is None and got == brute(rows, 2)
+    clear, rest = id_filter.split_by_ids(docs_of(rows), docs_of(rows[:7]))
+    assert {r["doc_id"] for r in rest.collect()} == {i for i, _ in rows[:7]} and clear.count() + rest.count() == len(rows)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     for j in (0.8, 0.9, 0.97):
@@ -135,7 +157,24 @@ def test_vectors_against_brute_force(spark):
     assert all(found[i][0] <= want[i][0] for i in want) and sum(found[i][0] for i in want) >= 0.99 * links
     assert sum(found[i] == want[i] for i in want) >= 0.98 * len(want)
     assert all(found[i] == (0, i) for i in range(5000, 5007)) and found[None] == (0, None)
-    assert vector_dup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_of_every_length_link(spark):
+    """16 components mostly; 8 and 3 seldom; the same direction in another length is no link."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for dim, n in ((16, 60), (8, 4), (3, 2)):
+        for _ in range(n):
+            x = rng.normal(size=dim)
+            low = len(rows)
+            for k in range(2):
+                want[len(rows)] = (1, low)
+                rows.append((len(rows), [float(v) for v in x * (1 + k)]))
+    want[len(rows)] = (0, len(rows))
+    rows.append((len(rows), [1.0, 0.0, 0.0, 0.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dup.near_vectors(df, 0.99999).collect()}
+    assert got == want
 
 
 def test_hot_leaf_is_split_and_counts_once(spark, monkeypatch):
@@ -144,6 +183,7 @@ def test_hot_leaf_is_split_and_counts_once(spark, monkeypatch):
     x = np.r_[rng.normal(size=(1, 16)) + 0.01 * rng.normal(size=(90, 16)), rng.normal(size=(60, 16))]
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r for r in vector_dup.near_vectors(df).collect()}
+    assert vector_dup.near_vectors(df.limit(0)).count() == 0
     assert all(got[i]["n_links"] == 89 and got[i]["component_id"] == 0 for i in range(90)) and all(got[i]["kept"] for i in range(90, 150))
 
 
@@ -201,7 +241,7 @@ def test_line_dedup_against_brute_force(docs_of, odd, seed):
             if rng.random() < 0.2:
                 lines.append(rng.choice(["", "  ", "\t"]))
         rows.append((100 + i, "\n".join(lines)))
-    rows += [(i, t) for i, t in odd if i != 5]
+    rows += odd
     got = line_dedup.line_dedup(docs_of(rows)).collect()
     assert len(got) == len(rows)
     check_lines(rows, {r["doc_id"]: r for r in got}, 50)
@@ -218,6 +258,8 @@ def test_passage_goes_from_later_documents_only(docs_of):
     assert passage in got[0] and not any(passage in got[i] for i in range(1, 30))
     assert all(got[i].split("\n") == [x for x in rows[i][1].split("\n") if x != passage] for i in range(1, 30))
     assert line_dedup.keep_first(docs.limit(0)).count() == 0
+    # columns that the operator adds are replaced
+    assert sorted(line_dedup.dedup(docs).columns) == sorted([c for c in docs.columns if not c.startswith("wc__")] + ["wc__n_lines", "wc__n_removed"])
 
 
 def test_short_repeats_stay(docs_of):

@@ -158,7 +158,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def _sets(ids: DataFrame, docs: DataFrame, width: int) -> Stored:
     """(doc_id, set) of the documents with these ids, and a few more: their full sets, as ascending 64-bit hashes.
 
-    The ids reach the scan as a Bloom filter of a fixed size, so that no text is shuffled.
+    The ids reach the scan as a Bloom filter, so that no text is shuffled; where there are too many, they are joined.
     """
     sent = id_filter(ids)
     cache: dict[bytes, int] = {}
@@ -166,15 +166,17 @@ def _sets(ids: DataFrame, docs: DataFrame, width: int) -> Stored:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            hit = hits(sent.value, b.column("h"))
+            hit = np.ones(b.num_rows, bool) if sent is None else hits(sent.value, b.column("h"))
             if hit.any():
                 b = b.filter(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(x, width, cache).tobytes() for x in texts(b)], pa.binary())], names=schema.names)
 
-    return Stored(docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, schema), "sets")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+    rows = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi") if sent is None else rows
+    return Stored(rows.mapInArrow(run, schema), "sets")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Stored:
     """The pairs (a, b) whose full sets reach the threshold."""
     kept = _sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     side = lambda x: kept.df.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}"))
@@ -192,7 +194,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     links = Stored(both.mapInArrow(check, pairs.select("a", "b").schema).distinct(), "links")
     kept.drop()
-    return links.df
+    return links
 
 
 class Inverted:
@@ -216,7 +218,7 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return pdf[pdf["p"] == pdf["lo"]], pdf[pdf["p"] == pdf["hi"]], bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
 
 
-def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> Stored:
     """Links (a, b) between members(key, rep, c, n) of a key whose components c differ.
 
     A key's members are compared in blocks of at most about BLOCK rows and BLOCK_SHINGLES shingles, each pair of blocks
@@ -224,8 +226,9 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     a pair that shares several keys is looked at in the first band they share. Only those rows are joined with their
     full sets, which decide. Of the links of a member to one component, one is returned: more would join nothing more.
     """
-    sized = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    rows = members.join(sized, "key").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # written down, so that the join's large side can be split where a key is hot
+    sized = Stored(members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")), "sized")
+    rows = members.join(sized.df, "key").withColumn("p", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # part p meets part o: the row goes to every unordered pair of parts that holds its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("lo", F.least("p", "o")).withColumn("hi", F.greatest("p", "o")).drop("o", "parts")
@@ -277,12 +280,13 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, width: int, pe
     types = dict(members.dtypes) | {"lo": "int", "hi": "int", "p": "int", "sketch": "array<bigint>"}
     schema = ", ".join(f"{c} {types[c]}" for c in columns)
     narrow = rows.join(reps.select("rep", "bands", "sketch"), "rep")
-    left = Stored(narrow.groupBy("key", "lo", "hi").applyInPandas(likely, schema), "likely").df
-    full = _sets(left.select(F.col("rep").alias("doc_id")), docs, width)
-    fat = left.join(full.df.withColumnRenamed("doc_id", "rep"), "rep")
+    left = Stored(narrow.groupBy("key", "lo", "hi").applyInPandas(likely, schema), "likely")
+    full = _sets(left.df.select(F.col("rep").alias("doc_id")), docs, width)
+    fat = left.df.join(full.df.withColumnRenamed("doc_id", "rep"), "rep")
     found = Stored(fat.groupBy("key", "lo", "hi").applyInPandas(links, f"a {types['rep']}, b {types['rep']}").distinct(), "across")
-    full.drop()
-    return found.df
+    for x in (sized, left, full):
+        x.drop()
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -292,35 +296,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     equal = sets.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct()
     # one row for each class: where an id is repeated with other texts, the fingerprint tells them apart
-    reps = Stored(sets.join(classes.drop("n"), ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "n", "bands", "sketch"), "reps").df
-    keys = reps.select("rep", "n", F.explode("bands").alias("key")).repartition("key")
-    # both sides of the join read the same columns of keys, so that they share its one exchange
-    full = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1 AND most > 0")
-    members = Stored(keys.join(full, "key").select("key", "rep", "n", "center", "size"), "buckets").df
-    stars = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(Stored(_likely(stars, reps, percent), "stars").df, docs, width, percent)
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = Stored(components_by_star(edges), "found").df
+    reps = Stored(sets.join(classes.drop("n"), ["h1", "h2"]).where("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "n", "bands", "sketch"), "reps")
+    keys = reps.df.select("rep", "n", F.explode("bands").alias("key"))
+    # keys are counted by partial aggregates; the counts are written down, so that the join's side of the keys can be split
+    full = Stored(keys.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = Stored(keys.join(full.df, "key").select("key", "rep", "n", "center", "size"), "buckets")
+    stars = members.df.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = Stored(_likely(stars, reps.df, percent), "stars")
+    links = _confirmed(likely.df, docs, width, percent)
+    found = Stored(components_by_star(links.df.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "found")
     # buckets of three or more whose members still lie in different components: all pairs but those with the centre
-    big = members.where("size > 2 AND rep <> center").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = Stored(big.join(split, "key"), "rest").df
-    links = links.unionByName(_across(rest, reps, docs, width, percent))
-    edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
+    big = members.df.where("size > 2 AND rep <> center").join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    split = Stored(big.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "split")
+    rest = Stored(big.join(split.df, "key"), "rest")
+    more = _across(rest.df, reps.df, docs, width, percent)
+    edges = links.df.unionByName(more.df).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(equal)
     label = components_by_star(edges).select(F.col("node").alias("doc_id"), "component")
+    for x in (reps, full, members, likely, links, found, split, rest, more):
+        x.drop()
     rows = made.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, and one row of each id; all rows without an id."""
+    """docs with one document of each component, the one with the smallest id; all rows without an id.
+
+    Of rows that repeat an id with the same text one stays, the first in the order of all columns; rows that repeat an id
+    with other texts are one document and stay or go together. Columns of any names come along.
+    """
     rows = Stored(near_duplicates(docs, width, percent), "near").df
     gone = rows.where("NOT kept").select("doc_id").distinct()
     repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    ids = Stored(gone.withColumn("gone", F.lit(True)).unionByName(repeated.withColumn("gone", F.lit(False))).groupBy("doc_id").agg(F.max("gone").alias("gone")), "gone").df
     # only rows that may be among these ids are shuffled
-    clear, rest = split_by_ids(docs, gone.unionByName(repeated))
-    once = rest.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti")
-    again = rest.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    clear, rest = split_by_ids(docs, ids)
     columns = [f"`{c}`" for c in docs.columns]
-    return clear.unionByName(once.select(*columns)).unionByName(again.select(*columns))
+    once = rest.join(ids, "doc_id", "left_anti").select(*columns)
+    whole = F.struct(*columns)
+    again = rest.join(ids.where("NOT gone"), "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select(*[f"row.{c}" for c in columns])
+    return clear.unionByName(once).unionByName(again)
