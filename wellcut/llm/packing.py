@@ -118,7 +118,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         for b in slices(batches):
             kind = b.schema.field("doc_id").type
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                raw = c.encode(text) + end
+                raw = c.ids(text) + end
                 for i in range(0, len(raw), wide):
                     block.append((doc_id, i // 4, raw[i : i + wide], len(raw) // 4))
                     held += min(wide, len(raw) - i) // 4
