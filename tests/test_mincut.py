@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from wellcut.functions.criterion import Criterion
 from wellcut.operators.components import union_find
-from wellcut.operators.mincut import adjacency, brute_force_cut, components, global_min_cut, subgraph
+from wellcut.operators.mincut import adjacency, brute_force_cut, components, edge_connectivity_to_two, global_min_cut, subgraph
 from wellcut.operators.refine import split_all
 
 
@@ -84,3 +84,17 @@ def test_large_ring_of_cliques():
     assert cut == 2
     found = split_all(graph(pairs), Criterion.parse("2log_10(n)"))
     assert sorted(len(g) for g in found) == [10] * 40
+
+
+def test_connectivity_up_to_two_against_brute_force():
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(400):
+        n = rng.randrange(2, 8)
+        pairs = [(i, (i + 1) % n) for i in range(n) if rng.random() < 0.7] + [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(0, n))]
+        adj = graph([p for p in pairs if p[0] != p[1]])
+        if len(adj) > 1:
+            cut = brute_force_cut(adj)
+            assert edge_connectivity_to_two(adj) == min(2, cut) and global_min_cut(adj)[0] == cut
+            seen.add(min(2, cut))
+    assert seen == {0, 1, 2}

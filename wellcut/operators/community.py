@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from wellcut.operators.components import components_by_star
 from wellcut.operators.graph import with_default_weight
+from wellcut.session import dealt
 
 ALGORITHMS = ("leiden-cpm", "leiden-mod", "louvain")
 Weighted = list[dict[int, float]]
@@ -199,4 +200,4 @@ def cluster_graph(edges: DataFrame, algorithm: str, resolution: float = 0.01, se
         found = cluster(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(), algorithm, resolution, seed, iterations, total and float(total))
         return pd.DataFrame({"node": list(found), "cluster_id": list(found.values())})
 
-    return rows.groupBy("component").applyInPandas(solve, "node long, cluster_id long")
+    return dealt(rows, "component").groupBy("component").applyInPandas(solve, "node long, cluster_id long")

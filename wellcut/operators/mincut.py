@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wellcut.session import dealt
+
 Adjacency = dict[int, dict[int, int]]
 
 
@@ -78,6 +80,29 @@ def _scan(adj: Adjacency) -> tuple[list[int], dict[tuple[int, int], int], list[i
     return order, bound, cuts
 
 
+def edge_connectivity_to_two(adj: Adjacency) -> int:
+    """0 for a graph in parts, 1 for one with a bridge, else 2: the smaller of 2 and the minimum cut, by one depth-first search."""
+    root = next(iter(adj))
+    entered, low = {root: 0}, {root: 0}
+    stack = [(root, root, iter(adj[root].items()))]
+    bridge = False
+    while stack:
+        u, parent, rest = stack[-1]
+        for v, w in rest:
+            if v not in entered:
+                entered[v] = low[v] = len(entered)
+                stack.append((v, u, iter(adj[v].items())))
+                break
+            if (v != parent or w > 1) and entered[v] < low[u]:
+                low[u] = entered[v]
+        else:
+            stack.pop()
+            if stack:
+                low[parent] = min(low[parent], low[u])
+                bridge |= low[u] > entered[parent]
+    return 0 if len(entered) < len(adj) else 1 if bridge else 2
+
+
 def global_min_cut(adj: Adjacency, cap: float | None = None) -> tuple[int, list[int]] | None:
     """The minimum cut's size and the side that holds fewer nodes (the smallest node in a tie); None if it isn't below the cap."""
     if len(adj) < 2:
@@ -85,6 +110,9 @@ def global_min_cut(adj: Adjacency, cap: float | None = None) -> tuple[int, list[
     every = sorted(adj)
     best: float = float("inf") if cap is None else cap
     side: list[int] | None = None
+    least, u = min((sum(adj[u].values()), u) for u in every)
+    if least < best and least <= 2 and edge_connectivity_to_two(adj) >= least:
+        return least, [u]  # no cut is smaller than that around the smallest of the nodes with the fewest edges
     group = {u: [u] for u in every}
     now = adj
     while len(now) > 1:
@@ -149,7 +177,7 @@ def min_cuts(edges: DataFrame, key: str = "component") -> DataFrame:
         cut, side = found or (0, [])
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n_nodes": [len(adj)], "cut_size": [cut], "side_a": [len(side)], "side_b": [len(adj) - len(side)]})
 
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(solve, f"{key} {kind}, n_nodes long, cut_size long, side_a long, side_b long")
+    return dealt(edges.select(key, "src", "dst"), key).groupBy(key).applyInPandas(solve, f"{key} {kind}, n_nodes long, cut_size long, side_a long, side_b long")
 
 
 def min_cut_sides(edges: DataFrame, key: str = "component") -> DataFrame:
@@ -162,4 +190,4 @@ def min_cut_sides(edges: DataFrame, key: str = "component") -> DataFrame:
         nodes = sorted(adj)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(nodes), "node": nodes, "side": [0 if u in small else 1 for u in nodes]})
 
-    return edges.select(key, "src", "dst").groupBy(key).applyInPandas(solve, f"{key} {kind}, node long, side int")
+    return dealt(edges.select(key, "src", "dst"), key).groupBy(key).applyInPandas(solve, f"{key} {kind}, node long, side int")

@@ -25,7 +25,7 @@ from wellcut.operators.community import cluster, cluster_graph
 from wellcut.operators.components import components_by_star, components_by_task
 from wellcut.operators.graph import dense_numbers, intra_cluster_edges, with_default_weight
 from wellcut.operators.mincut import Adjacency, adjacency, components, global_min_cut, subgraph
-from wellcut.session import Stored
+from wellcut.session import Stored, dealt
 
 #: Edges of a cluster up to which one task finds its components.
 TASK_EDGES = 5_000_000
@@ -77,39 +77,55 @@ def cc(edges: DataFrame, clusters: DataFrame, canonical: bool = False, strategy:
     return _named(connected_components(edges, clusters, strategy=strategy).withColumnRenamed("component", "group"), canonical)
 
 
-def peel(adj: Adjacency, criterion: Criterion) -> tuple[Adjacency, bool]:
-    """Removes leaves one at a time, the smallest first, while a cut of 1 doesn't pass; and whether what is left passes with a leaf."""
+def without(adj: Adjacency, u: int) -> None:
+    """Takes a node off, in place, and the last one that it leaves alone."""
+    for v in adj.pop(u):
+        del adj[v][u]
+        if not adj[v]:
+            del adj[v]
+
+
+def peel(adj: Adjacency, criterion: Criterion) -> bool:
+    """Removes leaves in place, one at a time, the smallest first, while a cut of 1 doesn't pass; whether what is left passes with a leaf."""
     one = lambda u: len(adj[u]) == 1 and next(iter(adj[u].values())) == 1
     heap = [u for u in adj if one(u)]
-    if not heap:
-        return adj, False
-    adj = {u: dict(n) for u, n in adj.items()}
     heapq.heapify(heap)
     while heap:
         u = heapq.heappop(heap)
         if u not in adj or not one(u):
             continue
         if criterion.holds(len(adj), 1):
-            return adj, True
-        v = next(iter(adj.pop(u)))
-        del adj[v][u]
-        if one(v):
+            return True
+        v = next(iter(adj[u]))
+        without(adj, u)
+        if v in adj and one(v):
             heapq.heappush(heap, v)
-    return {u: n for u, n in adj.items() if n}, False
+    return False
+
+
+def trim(adj: Adjacency, criterion: Criterion) -> list[int] | None:
+    """Takes nodes off a connected graph, in place, while its minimum cut has one alone on a side and doesn't pass.
+
+    What is left of a minimum cut is connected. Returns the smaller side of the first cut that parts more than a node; None
+    where what is left passes, or nothing is left.
+    """
+    while not peel(adj, criterion) and len(adj) > 1:
+        found = global_min_cut(adj, criterion.required_cut(len(adj)))
+        if found is None:
+            return None
+        if len(found[1]) > 1:
+            return found[1]
+        without(adj, found[1][0])
+    return None
 
 
 def split_once(adj: Adjacency, criterion: Criterion) -> tuple[bool, list[Adjacency]]:
-    """One generation: (True, [cluster]) if it is well connected, else the parts with two nodes at least."""
-    adj, passed = peel(adj, criterion)
-    if passed:
-        return True, [adj]
-    if len(adj) < 2:
-        return False, []
-    found = global_min_cut(adj, criterion.required_cut(len(adj)))
-    if found is None:
-        return True, [adj]
-    a = set(found[1])
-    parts = [c for side in (a, set(adj) - a) for c in components(adj, side) if len(c) > 1]
+    """One generation: (True, [cluster]) if, trimmed, it is well connected, else the parts with two nodes at least. Changes adj."""
+    side = trim(adj, criterion)
+    if side is None:
+        return bool(adj), [adj] if adj else []
+    a = set(side)
+    parts = [c for nodes in (a, set(adj) - a) for c in components(adj, nodes) if len(c) > 1]
     return False, [subgraph(adj, set(c)) for c in parts]
 
 
@@ -159,7 +175,7 @@ def wcc(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(n)", mo
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _rows(split_all(adjacency(pdf["src"].to_numpy(), pdf["dst"].to_numpy()), c))
 
-    found = _by_task(edges, clusters, strategy).select("key", "src", "dst").groupBy("key").applyInPandas(solve, "node long, group long")
+    found = dealt(_by_task(edges, clusters, strategy).select("key", "src", "dst"), "key").groupBy("key").applyInPandas(solve, "node long, group long")
     return _named(found, canonical)
 
 
@@ -184,7 +200,7 @@ def wcc_rounds(edges: DataFrame, clusters: DataFrame, criterion: str = "1log_10(
     kept: list[Stored] = []
     for i in range(max_rounds):
         began = time.perf_counter()
-        out = Stored(pending.df.groupBy("group").applyInPandas(step, "done boolean, group long, src long, dst long"), "round")
+        out = Stored(dealt(pending.df, "group").groupBy("group").applyInPandas(step, "done boolean, group long, src long, dst long"), "round")
         row = out.df.agg(
             F.count_distinct(F.when(F.col("done"), F.col("group"))).alias("finished"), F.count_distinct(F.when(~F.col("done"), F.col("group"))).alias("left")
         ).first()
@@ -213,30 +229,22 @@ def cm_cluster(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, criterion:
             weights[k] = weights.get(k, 0.0) + w
     queue, done = deque(subgraph(adj, set(c)) for c in components(adj) if len(c) > 1), []
     while queue:
-        now, passed = peel(queue.popleft(), criterion)
-        while len(now) > 1:
-            found = None if passed else global_min_cut(now, criterion.required_cut(len(now)))
-            if found is None:
+        now = queue.popleft()
+        side = trim(now, criterion)
+        if side is None:
+            if now:
                 done.append(sorted(now))
-                break
-            side = found[1]
-            if len(side) > 1:
-                for part in (set(side), set(now) - set(side)):
-                    sub = subgraph(now, part)
-                    pairs = [(a, b) for a in sorted(sub) for b in sorted(sub[a]) if a < b for _ in range(sub[a][b])]
-                    if not pairs:
-                        continue
-                    x, y = np.array(pairs, np.int64).T
-                    w = np.array([weights[p] / sub[p[0]][p[1]] for p in pairs])
-                    comm = cluster(x, y, w, algorithm, resolution, seed, 2)
-                    inner = {a: {b: n for b, n in row.items() if comm[a] == comm[b]} for a, row in sub.items()}
-                    queue.extend(subgraph(inner, set(c)) for c in components(inner) if len(c) > 1)
-                break
-            # a trivial cut: the single node goes, or both where two nodes are left
-            now = {u: dict(n) for u, n in now.items() if u != side[0]}
-            for n in now.values():
-                n.pop(side[0], None)
-            now, passed = peel({u: n for u, n in now.items() if n}, criterion)
+            continue
+        for part in (set(side), set(now) - set(side)):
+            sub = subgraph(now, part)
+            pairs = [(a, b) for a in sorted(sub) for b in sorted(sub[a]) if a < b for _ in range(sub[a][b])]
+            if not pairs:
+                continue
+            x, y = np.array(pairs, np.int64).T
+            w = np.array([weights[p] / sub[p[0]][p[1]] for p in pairs])
+            comm = cluster(x, y, w, algorithm, resolution, seed, 2)
+            inner = {a: {b: n for b, n in row.items() if comm[a] == comm[b]} for a, row in sub.items()}
+            queue.extend(subgraph(inner, set(c)) for c in components(inner) if len(c) > 1)
     return done
 
 
@@ -254,4 +262,4 @@ def cm(edges: DataFrame, clusters: DataFrame | None = None, algorithm: str = "le
         pdf = pdf.sort_values(["src", "dst", "weight"])
         return _rows(cm_cluster(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["weight"].to_numpy(), c, algorithm, resolution, seed, None))
 
-    return _named(rows.select("key", "src", "dst", "weight").groupBy("key").applyInPandas(solve, "node long, group long"), canonical)
+    return _named(dealt(rows.select("key", "src", "dst", "weight"), "key").groupBy("key").applyInPandas(solve, "node long, group long"), canonical)

@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows shuffled by keys to spark.sql.shuffle.partitions partitions, however few bytes they are.
+
+    For grouped maps that take long for their size: adaptive execution would put small partitions into one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir.
 
