@@ -68,3 +68,25 @@ def test_rounds_that_run_out_are_an_error(spark):
     assert found.count() == 16 and all(s["bytes"] > 0 for s in steps)
     with pytest.raises(RuntimeError, match="1 rounds"):
         wcc_rounds(e, c, max_rounds=1)
+
+
+def test_graph_tables(spark):
+    from wellcut.operators.graph import graph_tables
+
+    e = spark.createDataFrame([(1, 1, 2.0), (1, 2, None), (2, 3, 4.0)], "src long, dst long, weight double")
+    edges, nodes = graph_tables(e)
+    assert sorted(r["weight"] for r in edges.collect()) == [1.0, 2.0, 4.0]
+    assert sorted(map(tuple, nodes.collect())) == [(1, 1.0, 2.0), (2, 1.0, 0.0), (3, 1.0, 0.0)]
+    given = spark.createDataFrame([(1, 5.0, 7.0), (2, None, None), (3, 2.0, None), (4, 1.0, None)], "node long, size double, self_weight double")
+    assert sorted(map(tuple, graph_tables(e, given)[1].collect())) == [(1, 5.0, 7.0), (2, 1.0, 0.0), (3, 2.0, 0.0), (4, 1.0, 0.0)]
+    for bad, text in ((given.where("node < 3"), "no node"), (given.unionByName(given), "twice")):
+        with pytest.raises(ValueError, match=text):
+            graph_tables(e, bad)
+
+
+def test_stage_log(tmp_path):
+    from wellcut.telemetry import logger
+
+    logger(str(tmp_path / "a.log"), 1, "stage 3").info("read %s", "x")
+    line = (tmp_path / "a.log").read_text()
+    assert line.startswith("[INFO][0-0:0:0](t=") and line.endswith("ms) stage 3: read x\n")

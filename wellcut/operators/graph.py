@@ -31,6 +31,26 @@ def with_default_weight(edges: DataFrame, weight: float = 1.0) -> DataFrame:
     return edges.select("src", "dst", F.coalesce(found, F.lit(weight)).alias("weight"))
 
 
+def graph_tables(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, weight) and (node, size, self_weight) of edges and, where given, nodes(node[, size][, self_weight]).
+
+    Weights and sizes are 1 and self weights those of a node's loops where there are none. Without nodes they are the ends of the
+    edges; with nodes, one that comes up twice or is missing is an error.
+    """
+    e = with_default_weight(edges)
+    ends = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    given = ends if nodes is None else nodes
+    if nodes is not None:
+        if not nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ValueError("a node comes up twice")
+        if not ends.join(nodes, "node", "left_anti").isEmpty():
+            raise ValueError("an edge has an end that is no node")
+    own = lambda c: F.col(c).cast("double") if c in given.columns else F.lit(None).cast("double")
+    loops = self_weights(e).withColumnRenamed("self_weight", "loops")
+    rows = given.select("node", own("size").alias("size"), own("self_weight").alias("own")).join(loops, "node", "left")
+    return e, rows.select("node", F.coalesce("size", F.lit(1.0)).alias("size"), F.coalesce("own", "loops", F.lit(0.0)).alias("self_weight"))
+
+
 def last_wins(rows: DataFrame, order: str = "line") -> DataFrame:
     """(node, cluster_id): the row with the greatest ``order`` for each node."""
     return rows.groupBy("node").agg(F.max_by("cluster_id", order).alias("cluster_id"))

@@ -195,6 +195,13 @@ def collapsed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.collapsed_sizes(part_brands(spark, sf_dir))
 
 
+@query
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the graph of brands, with sizes and the weight of their loops."""
+    e, c = _parts(spark, sf_dir)
+    return g.graph_tables(g.collapse_graph(e, c), g.collapsed_sizes(c))[1]
+
+
 @query
 def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.graph_density(part_copurchase(spark, sf_dir)).withColumn("density", F.round("density", 9))

@@ -87,6 +87,7 @@ ORACLE_SQL = {
     "restored_edges": parts(f", {BRAND_GRAPH}, {PAIRS.format(e='y')}, {SPARSE} SELECT src, dst FROM y JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.cid = b.cid OR EXISTS (SELECT 1 FROM p WHERE c1 = least(a.cid, b.cid) AND c2 = greatest(a.cid, b.cid))"),
     "collapse_graph": parts(" SELECT least(a.cid, b.cid) AS src, greatest(a.cid, b.cid) AS dst, CAST(sum(w) AS DOUBLE) AS weight FROM e1 JOIN c a ON a.node = e1.src JOIN c b ON b.node = e1.dst GROUP BY 1, 2"),
     "collapsed_sizes": parts(" SELECT cid AS node, CAST(count(*) AS DOUBLE) AS size FROM c GROUP BY 1"),
+    "graph_nodes": parts(", q AS (SELECT a.cid, CAST(sum(w) AS DOUBLE) AS w FROM e1 JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.cid = b.cid GROUP BY 1) SELECT CAST(c.cid AS INTEGER) AS node, CAST(count(*) AS DOUBLE) AS size, coalesce(max(q.w), 0) AS self_weight FROM c LEFT JOIN q USING (cid) GROUP BY 1"),
     "graph_density": parts(", n AS (SELECT count(*) AS k FROM (SELECT src FROM e1 UNION SELECT dst FROM e1)) SELECT k AS n_nodes, m AS n_edges, t AS total_weight, round(CASE WHEN k > 1 THEN 2 * t / (k::DOUBLE * (k - 1)) ELSE 0 END, 9) AS density FROM n, (SELECT count(*) AS m, CAST(sum(w) AS DOUBLE) AS t FROM e1)"),
     "modularity": parts(", m AS (SELECT count(*)::DOUBLE AS m FROM e1), k AS (SELECT cid, count(*) AS k FROM (SELECT src AS n FROM e1 UNION ALL SELECT dst FROM e1) JOIN c ON c.node = n GROUP BY 1), w AS (SELECT a.cid, count(*) AS w FROM e1 JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.cid = b.cid GROUP BY 1) SELECT round(sum(coalesce(w, 0) / m - pow(k / (2 * m), 2)), 6) AS modularity FROM k LEFT JOIN w USING (cid), m"),
     "cpm_quality": parts(", k AS (SELECT cid, count(*)::DOUBLE AS n FROM c GROUP BY 1), w AS (SELECT a.cid, count(*) AS w FROM e1 JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.cid = b.cid GROUP BY 1) SELECT round(sum(coalesce(w, 0) - 0.01::DOUBLE * n * (n - 1) / 2), 6) AS cpm FROM k LEFT JOIN w USING (cid)"),

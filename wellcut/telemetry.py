@@ -25,24 +25,26 @@ def split_duration(seconds: int) -> tuple[int, int, int, int]:
 
 
 class Elapsed(logging.Formatter):
-    """``[INFO][d-h:m:s](t=Ns) message``, counted from the formatter's start."""
+    """``[INFO][d-h:m:s](t=Ns) message``, counted from the formatter's start; of a stage, its name and milliseconds."""
 
-    def __init__(self) -> None:
+    def __init__(self, stage: str | None = None) -> None:
         super().__init__()
-        self.began = time.time()
+        self.began, self.stage = time.time(), stage
 
     def format(self, record: logging.LogRecord) -> str:
-        t = int(record.created - self.began)
-        d, h, m, s = split_duration(t)
-        return f"[{record.levelname}][{d}-{h}:{m}:{s}](t={t}s) {record.getMessage()}"
+        t = record.created - self.began
+        d, h, m, s = split_duration(int(t))
+        if self.stage is None:
+            return f"[{record.levelname}][{d}-{h}:{m}:{s}](t={int(t)}s) {record.getMessage()}"
+        return f"[{record.levelname}][{d}-{h}:{m}:{s}](t={int(1000 * t)}ms) {self.stage}: {record.getMessage()}"
 
 
-def logger(path: str | None, level: int = 1) -> logging.Logger:
-    out = logging.getLogger(f"wellcut.run.{path}")
+def logger(path: str | None, level: int = 1, stage: str | None = None) -> logging.Logger:
+    out = logging.getLogger(f"wellcut.run.{path}.{stage}")
     out.handlers.clear()
     out.propagate = False
     handler = logging.FileHandler(path) if path else logging.StreamHandler()
-    handler.setFormatter(Elapsed())
+    handler.setFormatter(Elapsed(stage))
     out.addHandler(handler)
     out.setLevel(LEVELS.get(level, logging.INFO))
     return out
