@@ -1,4 +1,3 @@
-import math
 import random
 import zlib
 
@@ -78,21 +77,6 @@ def test_non_negative_risk_beats_ignoring_the_prior():
     assert auc([(i < 200, v) for i, v in enumerate(z)]) > 0.85 and (w[:5] > 0).all()
 
 
-def test_scale_has_the_least_non_negative_risk():
-    """Against the risk by plain loops, at the found slope and shift and around them."""
-    rng = np.random.default_rng(4)
-    zp, zu, prior = rng.normal(2, 1, 60), np.r_[rng.normal(2, 1, 40), rng.normal(-1, 1, 160)], 0.2
-
-    def risk(a, b):
-        loss = lambda z, y: math.log1p(math.exp(-y * (a * z + b)))
-        plus, minus = sum(loss(z, 1) for z in zp) / len(zp), sum(loss(z, -1) for z in zp) / len(zp)
-        return prior * plus + max(0.0, sum(loss(z, -1) for z in zu) / len(zu) - prior * minus)
-
-    a, b = toxicity.pu_scale(zp, zu, prior)
-    assert a > 0 and all(risk(a, b) <= risk(a * x, b + y) + 5e-3 for x in (0.6, 0.9, 1, 1.1, 1.6) for y in (-1, -0.2, 0, 0.2, 1))
-    assert abs(np.mean(1 / (1 + np.exp(-a * zu - b))) - prior) < 0.08
-
-
 def test_quality(spark, docs_of, odd, labelled):
     rows, labels, table = labelled
     docs = docs_of(rows + [(10_000 + (i or 0), t) for i, t in odd])
