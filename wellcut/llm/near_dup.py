@@ -44,7 +44,7 @@ from wellcut.session import Stored
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
-CACHE = 300_000
+CACHE = 150_000
 #: Members of a bucket that a task compares with as many others.
 BLOCK = 2048
 BLOCK_SHINGLES = 1 << 20

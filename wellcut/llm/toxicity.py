@@ -31,7 +31,7 @@ from wellcut.llm.labels import remainder, sampled, with_texts
 
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>~_-"
 THRESHOLD = 0.7
-CACHE = 200_000
+CACHE = 100_000
 #: Beginnings of words, in characters, and counts in a text that are features beside the words themselves.
 PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 3, 5)
