@@ -6,7 +6,7 @@ from wellcut.functions.criterion import Criterion
 from wellcut.operators.graph import intra_cluster_edges
 from wellcut.operators.mincut import adjacency, brute_force_cut, components, subgraph
 from wellcut.operators.refine import wcc
-from wellcut.plans.datasets import part_brands, part_copurchase, supplier_copurchase, supplier_nations
+from wellcut.plans.datasets import copurchase_inside, part_brands, part_copurchase, supplier_copurchase, supplier_nations
 from wellcut.plans.queries import QUERIES
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -45,3 +45,18 @@ def test_cuts_of_parts_by_brute_force(spark):
     flags = {r["component"]: r for r in QUERIES["well_connected_flag_parts"](spark, SMALL).collect()}
     log, twice = Criterion.parse("1log_10(n)"), Criterion.parse("2log_10(n)")
     assert all((flags[k]["connected"], flags[k]["log10"], flags[k]["twice_log10"]) == (cut >= 1, log.holds(n, cut), twice.holds(n, cut)) for k, n, cut in want) and len(flags) == len(want)
+
+
+def test_pairs_inside_brands_are_the_edges_inside_brands(spark):
+    brands = part_brands(spark, SMALL)
+    want = intra_cluster_edges(part_copurchase(spark, SMALL), brands).select("src", "dst", "weight").collect()
+    got = copurchase_inside(spark, SMALL, brands).select("src", "dst", "weight").collect()
+    assert sorted(got) == sorted(want) and got
+
+
+def test_parts_twice_in_an_order_and_without_a_brand(spark, tmp_path):
+    rows = [(1, 5), (1, 5), (1, 6), (1, 7), (2, 6), (2, 5), (3, 5), (3, None), (None, 5), (None, 6), (4, 9), (4, 5)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = spark.createDataFrame([(5, 1), (6, 1), (7, 2), (8, 1), (9, None)], "node long, cluster_id int")
+    # as the SQL joins them: lines without an order share none
+    assert list(map(tuple, copurchase_inside(spark, str(tmp_path), c).collect())) == [(5, 6, 2.0)]

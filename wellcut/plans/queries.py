@@ -15,7 +15,7 @@ from wellcut.operators.community import cluster_graph
 from wellcut.operators.components import components_by_task
 from wellcut.operators.mincut import min_cut_sides, min_cuts
 from wellcut.operators.refine import cc, cm, connected_components, wcc, wcc_rounds
-from wellcut.plans.datasets import brand_graph, part_brands, part_copurchase, supplier_copurchase, supplier_nations
+from wellcut.plans.datasets import brand_graph, copurchase_inside, part_brands, part_copurchase, supplier_copurchase, supplier_nations
 from wellcut.session import Stored, shared_dir, table
 from wellcut.sources import io
 from wellcut.telemetry import totals
@@ -43,6 +43,12 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return part_copurchase(spark, sf_dir), part_brands(spark, sf_dir)
 
 
+def _brand_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same for operators that use no edge between brands."""
+    brands = part_brands(spark, sf_dir)
+    return copurchase_inside(spark, sf_dir, brands), brands
+
+
 def _component_edges(e: DataFrame, c: DataFrame) -> DataFrame:
     inside = g.intra_cluster_edges(e, c)
     return inside.join(connected_components(e, c).select(F.col("node").alias("src"), "component"), "src").select("component", "src", "dst")
@@ -342,7 +348,7 @@ def wcc_copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wcc_2log10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _node_cluster(wcc(*_parts(spark, sf_dir), "2log_10(n)", canonical=True))
+    return REFINED["wcc_2log10_parts"](*_brand_parts(spark, sf_dir))
 
 
 @query
@@ -363,14 +369,24 @@ def louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _node_cluster(cluster_graph(e, "louvain"))
 
 
-def _cm(algorithm: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _node_cluster(cm(part_copurchase(spark, sf_dir), part_brands(spark, sf_dir), algorithm, 0.05, canonical=True))
+def _cm(algorithm: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda e, c: _node_cluster(cm(e, c, algorithm, 0.05, canonical=True))
 
-    return run
+
+#: What is found from edges and clusters, for the queries and for the rules of their results.
+REFINED: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "wcc_2log10_parts": lambda e, c: _node_cluster(wcc(e, c, "2log_10(n)", canonical=True)),
+    "cm_leiden_cpm": _cm("leiden-cpm"),
+    "cm_leiden_mod": _cm("leiden-mod"),
+    "cm_louvain": _cm("louvain"),
+}
+
+
+def _refined(name: str) -> Query:
+    return lambda spark, sf_dir: REFINED[name](*_brand_parts(spark, sf_dir))
 
 
-QUERIES |= {"cm_leiden_cpm": _cm("leiden-cpm"), "cm_leiden_mod": _cm("leiden-mod"), "cm_louvain": _cm("louvain")}
+QUERIES |= {name: _refined(name) for name in ("cm_leiden_cpm", "cm_leiden_mod", "cm_louvain")}
 
 
 # what holds of every result, however ties and random moves fall
