@@ -60,3 +60,10 @@ def test_parts_twice_in_an_order_and_without_a_brand(spark, tmp_path):
     c = spark.createDataFrame([(5, 1), (6, 1), (7, 2), (8, 1), (9, None)], "node long, cluster_id int")
     # as the SQL joins them: lines without an order share none
     assert list(map(tuple, copurchase_inside(spark, str(tmp_path), c).collect())) == [(5, 6, 2.0)]
+
+
+@pytest.mark.parametrize("name", ["cm_leiden_cpm", "wcc_2log10_parts"])
+def test_rules_read_the_edges_from_a_table_written_once(name, spark):
+    found = QUERIES[f"rules_of_{name}"](spark, SMALL)
+    assert "l_orderkey" not in found._jdf.queryExecution().toString()
+    assert set(found.first()) == {0}

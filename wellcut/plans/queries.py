@@ -397,7 +397,7 @@ def broken_rules(found: DataFrame, edges: DataFrame, clusters: DataFrame, criter
     that span two of the given ones, of one node, in parts, or with a minimum cut that doesn't pass."""
     rows = Stored(found, "rules").df
     given = rows.join(clusters, "node")
-    inside = g.intra_cluster_edges(edges, rows.withColumnRenamed("cluster", "cluster_id"))
+    inside = Stored(g.intra_cluster_edges(edges, rows.withColumnRenamed("cluster", "cluster_id")), "inside").df
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("node").alias("low"))
     parts = components_by_task(inside).groupBy(F.col("cluster_id").alias("cluster")).agg(F.count("*").alias("reached"), F.count_distinct("component").alias("parts"))
     whole = sizes.join(parts, "cluster", "left")
@@ -416,8 +416,12 @@ def broken_rules(found: DataFrame, edges: DataFrame, clusters: DataFrame, criter
 
 def _rules(name: str, criterion: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e, c = _parts(spark, sf_dir)
-        found = QUERIES[name](spark, sf_dir)
+        e, c = _brand_parts(spark, sf_dir)
+        if name in REFINED:
+            e = Stored(e, "edges").df
+            found = REFINED[name](e, c)
+        else:
+            found = QUERIES[name](spark, sf_dir)
         if not criterion:  # communities keep nodes that are alone
             sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
             found = found.join(sizes, "cluster", "left_semi").select("node", "cluster")
