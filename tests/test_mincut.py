@@ -138,3 +138,8 @@ def test_whole_graphs_are_not_searched_for_every_node_that_comes_off(monkeypatch
         monkeypatch.setattr(mincut, name, lambda adj, f=f: searched.append(len(adj)) or f(adj))
     split_all(adj, Criterion.parse("2log_10(n)"))
     assert sum(searched) < 10 * 400  # 90,327 nodes where a search follows every node that comes off
+
+
+def test_a_cut_of_two_does_not_pass_above_a_hundred_nodes():
+    # a ring is its own 2-core, but 1log_10(n) asks 120 nodes for a cut of 3: it opens and falls to 10 nodes, where 1 passes
+    assert split_all(graph([(i, (i + 1) % 120) for i in range(120)]), Criterion.parse("1log_10(n)")) == [list(range(110, 120))]
