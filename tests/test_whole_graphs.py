@@ -62,7 +62,7 @@ def test_parts_twice_in_an_order_and_without_a_brand(spark, tmp_path):
     assert list(map(tuple, copurchase_inside(spark, str(tmp_path), c).collect())) == [(5, 6, 2.0)]
 
 
-@pytest.mark.parametrize("name", ["cm_leiden_cpm", "cm_louvain", "wcc_2log10_parts"])
+@pytest.mark.parametrize("name", ["cm_leiden_cpm", "cm_leiden_mod", "cm_louvain", "wcc_2log10_parts"])
 def test_rules_read_the_edges_from_a_table_written_once(name, spark):
     found = QUERIES[f"rules_of_{name}"](spark, SMALL)
     assert "l_orderkey" not in found._jdf.queryExecution().toString()
