@@ -11,7 +11,7 @@ from wellcut.operators.graph import intra_cluster_edges
 from wellcut.operators.mincut import adjacency, brute_force_cut, components, subgraph
 from wellcut.operators.refine import wcc
 from wellcut.plans.datasets import copurchase_inside, pairs_in_baskets, part_brands, part_copurchase, supplier_copurchase, supplier_nations
-from wellcut.plans.queries import QUERIES
+from wellcut.plans.queries import QUERIES, broken_rules
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
@@ -93,3 +93,25 @@ def test_rules_read_the_edges_from_a_table_written_once(name, spark):
     found = QUERIES[f"rules_of_{name}"](spark, SMALL)
     assert "l_orderkey" not in found._jdf.queryExecution().toString()
     assert set(found.first()) == {0}
+
+
+def test_rules_take_one_task_for_a_cluster(spark):
+    plan = QUERIES["rules_of_cm_leiden_mod"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "p_brand" not in plan
+
+
+def test_every_broken_rule_is_counted(spark):
+    clique = lambda low, n: [(a, b) for a in range(low, low + n) for b in range(low, a)]
+    pairs = [*clique(0, 5), *clique(10, 5), *clique(20, 5), *clique(30, 4), *clique(40, 4), (39, 40), (39, 41), *clique(50, 5), *clique(55, 5), (54, 55), (70, 71)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    c = spark.createDataFrame([(u, 1 if u < 22 else 2) for u in range(100)], "node long, cluster_id int")
+    right = [(u, 0) for u in range(5)]
+    misnamed, over_two, weak = [(u, 11) for u in range(10, 15)], [(u, 20) for u in range(20, 25)], [(u, 50) for u in range(50, 60)]
+    in_parts = [(u, 30) for u in [*range(30, 34), *range(39, 44)]]
+    one_node, unlinked_and_again = [(80, 80)], [(70, 70), (0, 70)]
+    found = spark.createDataFrame(right + misnamed + over_two + weak + in_parts + one_node + unlinked_and_again, "node long, cluster long")
+    row = broken_rules(found, e, c, "1log_10(n)").first().asDict()
+    # node 0 makes its second cluster span two brands and start below its name; clusters without an edge are in parts, a cut of 0 is weak
+    assert row == {"repeated": 1, "spanning": 2, "small_or_misnamed": 3, "in_parts": 3, "weak": 2}
+    assert broken_rules(found, e, c, None).columns == ["repeated", "spanning", "small_or_misnamed", "in_parts"]
+    assert set(broken_rules(spark.createDataFrame(right, found.schema), e, c, "1log_10(n)").first()) == {0}

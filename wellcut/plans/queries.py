@@ -6,17 +6,19 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellcut.functions.criterion import Criterion, connected
 from wellcut.operators import graph as g
 from wellcut.operators.community import cluster_graph
-from wellcut.operators.components import components_by_task
-from wellcut.operators.mincut import min_cut_sides, min_cuts
+from wellcut.operators.components import union_find
+from wellcut.operators.mincut import adjacency, global_min_cut, min_cut_sides, min_cuts
 from wellcut.operators.refine import cc, cm, connected_components, wcc, wcc_rounds
 from wellcut.plans.datasets import brand_graph, copurchase_inside, part_brands, part_copurchase, supplier_copurchase, supplier_nations
-from wellcut.session import Stored, shared_dir, table
+from wellcut.session import Stored, dealt, shared_dir, table
 from wellcut.sources import io
 from wellcut.telemetry import totals
 
@@ -392,31 +394,44 @@ QUERIES |= {name: _refined(name) for name in ("cm_leiden_cpm", "cm_leiden_mod",
 # what holds of every result, however ties and random moves fall
 
 
+def _measured(inside: DataFrame, cuts: bool) -> DataFrame:
+    """(cluster, reached, parts, n_nodes, cut_size): the nodes and components of the edges inside each cluster and, where asked
+    for, the minimum cut: all in one task."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
+        nodes, comp = union_find(src, dst)
+        adj = adjacency(src, dst) if cuts else {}
+        cut, _ = global_min_cut(adj) or (0, [])
+        return pd.DataFrame({"cluster": pdf["cluster_id"].iloc[:1], "reached": [len(nodes)], "parts": [len(np.unique(comp))], "n_nodes": [len(adj)], "cut_size": [cut]})
+
+    rows = inside.select("cluster_id", "src", "dst")
+    rows = dealt(rows, "cluster_id") if cuts else rows
+    return rows.groupBy("cluster_id").applyInPandas(solve, "cluster long, reached long, parts long, n_nodes long, cut_size long")
+
+
 def broken_rules(found: DataFrame, edges: DataFrame, clusters: DataFrame, criterion: str | None) -> DataFrame:
     """One row of counts that are 0 for a right result found(node, cluster) of edges and clusters: nodes in two clusters, clusters
     that span two of the given ones, of one node, in parts, or with a minimum cut that doesn't pass."""
     rows = Stored(found, "rules").df
-    given = rows.join(clusters, "node")
-    inside = Stored(g.intra_cluster_edges(edges, rows.withColumnRenamed("cluster", "cluster_id")), "inside").df
+    inside = g.intra_cluster_edges(edges, rows.withColumnRenamed("cluster", "cluster_id"))
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"), F.min("node").alias("low"))
-    parts = components_by_task(inside).groupBy(F.col("cluster_id").alias("cluster")).agg(F.count("*").alias("reached"), F.count_distinct("component").alias("parts"))
-    whole = sizes.join(parts, "cluster", "left")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
+    whole = sizes.join(_measured(inside, criterion is not None), "cluster", "left")
+    wrong = {"small_or_misnamed": F.expr("size < 2 OR low <> cluster"), "in_parts": F.expr("coalesce(parts, 0) <> 1 OR reached <> size")}
+    if criterion:
+        wrong["weak"] = ~Criterion.parse(criterion).column("n_nodes", "cut_size")
     bad = [
-        count(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "repeated"),
-        count(given.groupBy("cluster").agg(F.count_distinct("cluster_id").alias("n")).where("n > 1"), "spanning"),
-        count(sizes.where("size < 2 OR low <> cluster"), "small_or_misnamed"),
-        count(whole.where("coalesce(parts, 0) <> 1 OR reached <> size"), "in_parts"),
+        rows.groupBy("node").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated")),
+        rows.join(clusters, "node").groupBy("cluster").agg((F.min("cluster_id") < F.max("cluster_id")).alias("two")).agg(F.count_if("two").alias("spanning")),
+        whole.agg(*[F.count_if(is_wrong).alias(name) for name, is_wrong in wrong.items()]),
     ]
-    if criterion:
-        cuts = min_cuts(inside.withColumnRenamed("cluster_id", "component"))
-        bad.append(count(cuts.where(~Criterion.parse(criterion).column("n_nodes", "cut_size")), "weak"))
     return reduce(g.beside, bad)
 
 
 def _rules(name: str, criterion: str | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e, c = _brand_parts(spark, sf_dir)
+        c = Stored(part_brands(spark, sf_dir), "clusters").df
+        e = copurchase_inside(spark, sf_dir, c)
         if name in REFINED:
             e = Stored(e, "edges").df
             found = REFINED[name](e, c)
