@@ -102,11 +102,11 @@ def test_rules_take_one_task_for_a_cluster(spark):
 
 def test_every_broken_rule_is_counted(spark):
     clique = lambda low, n: [(a, b) for a in range(low, low + n) for b in range(low, a)]
-    pairs = [*clique(0, 5), *clique(10, 5), *clique(20, 5), *clique(30, 4), *clique(40, 4), (39, 40), (39, 41), *clique(50, 5), *clique(55, 5), (54, 55), (70, 71)]
+    pairs = [*clique(0, 5), *clique(10, 5), *clique(20, 5), *clique(30, 4), *clique(40, 4), (39, 40), (39, 41), *clique(50, 5), *clique(55, 6), (54, 55), (70, 71)]
     e = spark.createDataFrame(pairs, "src long, dst long")
     c = spark.createDataFrame([(u, 1 if u < 22 else 2) for u in range(100)], "node long, cluster_id int")
     right = [(u, 0) for u in range(5)]
-    misnamed, over_two, weak = [(u, 11) for u in range(10, 15)], [(u, 20) for u in range(20, 25)], [(u, 50) for u in range(50, 60)]
+    misnamed, over_two, weak = [(u, 11) for u in range(10, 15)], [(u, 20) for u in range(20, 25)], [(u, 50) for u in range(50, 61)]
     in_parts = [(u, 30) for u in [*range(30, 34), *range(39, 44)]]
     one_node, unlinked_and_again = [(80, 80)], [(70, 70), (0, 70)]
     found = spark.createDataFrame(right + misnamed + over_two + weak + in_parts + one_node + unlinked_and_again, "node long, cluster long")
